@@ -6,6 +6,8 @@ value, the number 0 does not) and turned into text at the end.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ EMPTY_JSON = r'^(null|false|""|\{\}|\[\]|-?0+(\.0+)?([eE][+-]?\d+)?)$'
 WRAPPED_KEYS = ("value", "amount", "name", "code", "label")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def at(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{path}", kind)
 
@@ -26,43 +33,50 @@ def text_of(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def is_object(v: Column) -> Column:
-    return F.startswith(F.to_json(v), F.lit("{"))
+def fields_of(v: Column, names: Sequence[str]) -> Column:
+    """The named fields of an object as one struct of variants, read in a single pass."""
+    return F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
 
 
 def usable(v: Column) -> Column:
     """The value unless it is absent, null, zero, false or empty."""
-    return F.when(~F.rlike(F.to_json(v), F.lit(EMPTY_JSON)), v)
+    return let(v, lambda x: F.when(~F.rlike(F.to_json(x), F.lit(EMPTY_JSON)), x))
 
 
-def first_usable(v: Column, *paths: str) -> Column:
-    """First usable field; the last one is taken whatever it holds."""
-    *head, last = paths
-    return F.coalesce(*[usable(at(v, p)) for p in head], at(v, last))
+def first_usable(*values: Column) -> Column:
+    """First usable value; the last one is taken whatever it holds."""
+    *head, last = values
+    return F.coalesce(*[usable(v) for v in head], last)
 
 
 def follow(v: Column, cache: Column) -> Column:
     """Object behind ``{"__ref": key}``; the value itself when it is no reference or unknown."""
-    key = at(v, "__ref", "string")
-    return F.coalesce(F.when(key.isNotNull(), F.try_element_at(cache, key)), v)
+    return let(v, lambda x: F.coalesce(F.try_element_at(cache, at(x, "__ref", "string")), x))
 
 
-def unwrap(v: Column, cache: Column | None = None) -> Column:
-    """Text of a value that may be wrapped in a typed object or behind a reference."""
-    target = v if cache is None else follow(v, cache)
-    kind = at(target, "__typename", "string")
-    name = blank_to_null(at(target, "name", "string"))
-    code = at(target, "code", "string")
-    generic = F.to_json(target)
+def _by_kind(o: Column, whole: Column) -> Column:
+    kind = text_of(o["__typename"])
+    name = blank_to_null(text_of(o["name"]))
+    code = text_of(o["code"])
+    generic = F.to_json(whole)
     for key in reversed(WRAPPED_KEYS):
-        field = at(target, key)
-        generic = F.when(field.isNotNull(), text_of(field)).otherwise(generic)
-    by_kind = (
-        F.when(kind == "Money", at(target, "amount", "string"))
+        generic = F.when(o[key].isNotNull(), text_of(o[key])).otherwise(generic)
+    return (
+        F.when(kind == "Money", text_of(o["amount"]))
         .when(kind == "HousingForm", F.coalesce(name, title_case(code)))
         .when(kind == "Tenure", F.coalesce(name, title_case(F.replace(code, F.lit("_"), F.lit(" ")))))
-        .when(kind == "Location", F.coalesce(blank_to_null(at(target, "fullName", "string")), name))
-        .when(kind == "Coordinate", F.to_json(target))
+        .when(kind == "Location", F.coalesce(blank_to_null(text_of(o["fullName"])), name))
+        .when(kind == "Coordinate", F.to_json(whole))
         .otherwise(generic)
     )
-    return F.when(is_object(target), by_kind).otherwise(text_of(target))
+
+
+def unwrap(v: Column, cache: Column | None = None) -> Column:
+    """Text of a value that may be wrapped in a typed object or behind a reference."""
+    target = v if cache is None else follow(v, cache)
+
+    def read(t: Column) -> Column:
+        parts = fields_of(t, ("__typename", "fullName", *WRAPPED_KEYS))
+        return let(parts, lambda o: F.when(o.isNull(), text_of(t)).otherwise(_by_kind(o, t)))
+
+    return let(target, read)

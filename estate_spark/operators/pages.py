@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from estate_spark import schemas
 from estate_spark.functions.text import blank_to_null, flexible_date, listing_id, listing_type, strip
-from estate_spark.functions.variants import at, first_usable, follow, is_object, text_of, unwrap, usable
+from estate_spark.functions.variants import at, fields_of, first_usable, let, text_of, unwrap, usable
 
 # The data script, the record kinds in the cache, position patterns.
 DATA_SCRIPT = r'(?s)<script id="__NEXT_DATA__" type="application/json">(.+?)</script>'
@@ -21,6 +21,16 @@ RECORD_KINDS = ("Property", "ActivePropertyListing", "SoldPropertyListing", "Lis
 POSITION_BODY = r"\[null,null,(\d+\.\d+),(\d+\.\d+)\]"
 LATITUDE_PARAM = r"(?:lat|latitude)[=:](\d+\.\d+)"
 LONGITUDE_PARAM = r"(?:lng|lon|longitude)[=:](\d+\.\d+)"
+# Keys read from a listing object.
+LISTING_KEYS = (
+    "streetAddress street location coordinate area districts locationName municipality county "
+    "housingForm housing_form propertyType tenureForm tenure ownershipType "
+    "numberOfRooms rooms roomCount livingArea living_area landArea plotArea lot_area floor formattedFloor "
+    "elevator hasElevator balcony hasBalcony constructionYear buildYear yearBuilt legacyConstructionYear "
+    "energyClass energyRating housingAssociation association fee monthlyFee avgift operatingCost driftskostnad "
+    "description askingPrice listing price soldPrice finalPrice sellingPrice soldAt soldDate saleDate "
+    "timesViewed statistics daysOnMarket publishedAt listedAt viewings"
+).split()
 PAGE_DATA = (
     "struct<props:struct<pageProps:struct<`__APOLLO_STATE__`:map<string,variant>,property:variant>>>"
 )
@@ -57,7 +67,7 @@ def request_position(requests: Column) -> Column:
         def pair(text: Column, pattern_lat: str, lat: int, pattern_lng: str, lng: int) -> Column:
             a = F.regexp_extract(text, pattern_lat, lat).try_cast("double")
             b = F.regexp_extract(text, pattern_lng, lng).try_cast("double")
-            return F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("lat"), b.alias("lng")))
+            return F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("latitude"), b.alias("longitude")))
 
         body = pair(r["postData"], POSITION_BODY, 1, POSITION_BODY, 2)
         return F.coalesce(body, pair(r["url"], LATITUDE_PARAM, 1, LONGITUDE_PARAM, 1))
@@ -65,10 +75,15 @@ def request_position(requests: Column) -> Column:
     return F.get(F.filter(F.transform(requests, position), lambda p: p.isNotNull()), 0)
 
 
-def object_position(main: Column) -> Column:
+def with_listing_fields(pages_with_main: DataFrame) -> DataFrame:
+    """Adds ``f``: all known keys of the listing object, opened once per page."""
+    return pages_with_main.withColumn("f", fields_of(F.col("main"), LISTING_KEYS))
+
+
+def object_position(f: Column) -> Column:
     """Position inside the listing object: under its location, else on the object itself."""
-    c = first_usable(main, "location.coordinate", "coordinate")
-    return F.struct(at(c, "latitude", "double").alias("lat"), at(c, "longitude", "double").alias("lng"))
+    c = first_usable(at(f["location"], "coordinate"), f["coordinate"])
+    return F.try_variant_get(c, "$", "struct<latitude:double,longitude:double>")
 
 
 def choose_city(names: Column, neighborhood: Column) -> Column:
@@ -98,29 +113,31 @@ def city_from_location(location_name: Column) -> Column:
     return strip(F.replace(second, F.lit(" kommun"), F.lit("")))
 
 
-def district_names(main: Column, cache: Column) -> Column:
-    """Names behind the districts list, in order; unknown references give null."""
-    refs = at(main, "districts", "array<variant>")
-    return F.transform(refs, lambda d: F.when(is_object(follow(d, cache)), unwrap(d, cache)).otherwise(text_of(d)))
+def district_names(f: Column, cache: Column) -> Column:
+    """Names behind the districts list, in order."""
+    refs = F.try_variant_get(f["districts"], "$", "array<variant>")
+    return F.transform(refs, lambda d: unwrap(d, cache))
 
 
 def full_name(v: Column, cache: Column) -> Column:
     return at(F.try_element_at(cache, at(v, "__ref", "string")), "fullName", "string")
 
 
-def location_detail(pages_with_main: DataFrame) -> DataFrame:
+def location_detail(pages_with_fields: DataFrame) -> DataFrame:
     """Districts, municipality and county by reference, next to the plain location fields."""
-    main, cache = F.col("main"), F.col("cache")
-    refs = at(main, "districts", "array<variant>")
-    names = F.filter(F.transform(refs, lambda d: full_name(d, cache)), lambda n: blank_to_null(n).isNotNull())
-    return pages_with_main.filter(main.isNotNull()).select(
+    f, cache = F.col("f"), F.col("cache")
+    refs = F.try_variant_get(f["districts"], "$", "array<variant>")
+    names = F.filter(
+        F.transform(refs, lambda d: blank_to_null(full_name(d, cache))), lambda n: n.isNotNull()
+    )
+    return pages_with_fields.filter(F.col("main").isNotNull()).select(
         "url",
-        at(main, "streetAddress", "string").alias("address"),
-        at(main, "area", "string").alias("area"),
-        at(main, "locationName", "string").alias("location_name"),
+        text_of(f["streetAddress"]).alias("address"),
+        text_of(f["area"]).alias("area"),
+        text_of(f["locationName"]).alias("location_name"),
         F.coalesce(names, F.array().cast("array<string>")).alias("districts"),
-        full_name(at(main, "municipality"), cache).alias("municipality"),
-        full_name(at(main, "county"), cache).alias("county"),
+        full_name(f["municipality"], cache).alias("municipality"),
+        full_name(f["county"], cache).alias("county"),
     )
 
 
@@ -131,76 +148,75 @@ def district_counts(detail: DataFrame) -> DataFrame:
     )
 
 
-def _flag(main: Column, first: str, second: str) -> Column:
-    """Either key usable; absent keys mean no, an explicit null in the last place stays null."""
-    last = at(main, second)
-    explicit_null = F.to_json(last) == "null"
-    tail = F.when(last.isNull(), F.lit("false")).when(~explicit_null, text_of(last))
-    return F.coalesce(text_of(usable(at(main, first))), tail)
-
-
-def _numeric_area(main: Column) -> Column:
-    """The key ``area`` doubles as the neighbourhood name; only a number is a size."""
-    v = at(main, "area")
-    return F.when(text_of(v).try_cast("double").isNotNull(), v)
+def _flag(first: Column, second: Column) -> Column:
+    """Either value usable; an absent second one means no, an explicit null there stays null."""
+    tail = F.when(second.isNull(), F.lit("false")).otherwise(text_of(second))
+    return F.coalesce(text_of(usable(first)), tail)
 
 
-def common_fields(main: Column, cache: Column, position: Column) -> dict[str, Column]:
-    neighborhood = F.when(_numeric_area(main).isNull(), at(main, "area", "string"))
-    from_districts = F.when(cache.isNotNull(), choose_city(district_names(main, cache), neighborhood))
-    area = F.coalesce(usable(at(main, "livingArea")), usable(at(main, "living_area")), _numeric_area(main))
-    plain = lambda *paths: text_of(first_usable(main, *paths))
-    wrapped = lambda *paths: unwrap(first_usable(main, *paths), cache)
+def common_fields(f: Column, cache: Column, position: Column) -> dict[str, Column]:
+    plain = lambda *names: text_of(first_usable(*[f[n] for n in names]))
+    wrapped = lambda *names: unwrap(first_usable(*[f[n] for n in names]), cache)
+    # the key ``area`` names the neighbourhood; only a number there is a size
+    size_in_area = F.when(text_of(f["area"]).try_cast("double").isNotNull(), f["area"])
+    neighborhood = F.when(size_in_area.isNull(), text_of(f["area"]))
+    from_districts = F.when(cache.isNotNull(), choose_city(district_names(f, cache), neighborhood))
     return {
         "address": plain("streetAddress", "street"),
-        "latitude": position["lat"].cast("string"),
-        "longitude": position["lng"].cast("string"),
+        "latitude": position["latitude"].cast("string"),
+        "longitude": position["longitude"].cast("string"),
         "neighborhood": neighborhood,
-        "city": F.coalesce(
-            blank_to_null(from_districts), city_from_location(at(main, "locationName", "string"))
-        ),
+        "city": F.coalesce(blank_to_null(from_districts), city_from_location(text_of(f["locationName"]))),
         "housing_type": wrapped("housingForm", "housing_form", "propertyType"),
         "ownership_type": wrapped("tenureForm", "tenure", "ownershipType"),
         "rooms": plain("numberOfRooms", "rooms", "roomCount"),
-        "living_area": text_of(area),
+        "living_area": text_of(first_usable(f["livingArea"], f["living_area"], size_in_area)),
         "lot_area": plain("landArea", "plotArea", "lot_area"),
         "floor": plain("floor", "formattedFloor"),
-        "has_elevator": _flag(main, "elevator", "hasElevator"),
-        "has_balcony": _flag(main, "balcony", "hasBalcony"),
+        "has_elevator": _flag(f["elevator"], f["hasElevator"]),
+        "has_balcony": _flag(f["balcony"], f["hasBalcony"]),
         "building_year": plain("constructionYear", "buildYear", "yearBuilt", "legacyConstructionYear"),
         "energy_class": plain("energyClass", "energyRating"),
         "association_name": wrapped("housingAssociation", "association"),
         "association_fee": wrapped("fee", "monthlyFee", "avgift"),
         "operating_cost": wrapped("operatingCost", "driftskostnad"),
-        "description": at(main, "description", "string"),
+        "description": text_of(f["description"]),
     }
 
 
-def sold_fields(main: Column, cache: Column, zone: str) -> dict[str, Column]:
-    sold_at = F.coalesce(*[usable(at(main, p)) for p in ("soldAt", "soldDate", "saleDate")])
+def _visits(f: Column) -> list[Column]:
+    return [at(f["statistics"], "visitsTotal"), at(f["statistics"], "visits")]
+
+
+def sold_fields(f: Column, cache: Column, zone: str) -> dict[str, Column]:
+    sold_at = F.coalesce(*[usable(f[n]) for n in ("soldAt", "soldDate", "saleDate")])
     return {
-        "asking_price": unwrap(first_usable(main, "askingPrice", "listing.price"), cache),
-        "final_price": unwrap(first_usable(main, "soldPrice", "finalPrice", "sellingPrice"), cache),
-        "sold_date": flexible_date(text_of(sold_at), zone),
-        "visit_count": text_of(first_usable(main, "timesViewed", "statistics.visitsTotal", "statistics.visits")),
-        "days_on_market": text_of(at(main, "daysOnMarket")),
+        "asking_price": unwrap(first_usable(f["askingPrice"], at(f["listing"], "price")), cache),
+        "final_price": unwrap(first_usable(f["soldPrice"], f["finalPrice"], f["sellingPrice"]), cache),
+        "sold_date": let(text_of(sold_at), lambda t: flexible_date(t, zone)),
+        "visit_count": text_of(first_usable(f["timesViewed"], *_visits(f))),
+        "days_on_market": text_of(f["daysOnMarket"]),
     }
 
 
-def for_sale_fields(main: Column, cache: Column, zone: str, as_of: date) -> dict[str, Column]:
-    published = F.coalesce(*[usable(at(main, p)) for p in ("publishedAt", "listedAt")])
-    listed = flexible_date(text_of(published), zone)
+def listed_date(f: Column, zone: str) -> Column:
+    published = F.coalesce(*[usable(f[n]) for n in ("publishedAt", "listedAt")])
+    return let(text_of(published), lambda t: flexible_date(t, zone))
+
+
+def for_sale_fields(f: Column, cache: Column, listed: Column, as_of: date) -> dict[str, Column]:
     shown = F.transform(
-        at(main, "viewings", "array<variant>"), lambda v: text_of(first_usable(v, "formattedTime", "time"))
+        F.try_variant_get(f["viewings"], "$", "array<variant>"),
+        lambda v: blank_to_null(text_of(first_usable(at(v, "formattedTime"), at(v, "time")))),
     )
     return {
-        "asking_price": unwrap(first_usable(main, "askingPrice", "price.asking"), cache),
+        "asking_price": unwrap(first_usable(f["askingPrice"], at(f["price"], "asking")), cache),
         "listed_date": listed,
         "days_on_market": F.datediff(F.lit(as_of), listed).cast("string"),
         "viewing_times": F.coalesce(
-            F.filter(shown, lambda t: blank_to_null(t).isNotNull()), F.array().cast("array<string>")
+            F.filter(shown, lambda t: t.isNotNull()), F.array().cast("array<string>")
         ),
-        "visit_count": text_of(first_usable(main, "statistics.visitsTotal", "statistics.visits")),
+        "visit_count": text_of(first_usable(*_visits(f))),
     }
 
 
@@ -214,15 +230,15 @@ def extract_records(
     keep their URL and the reason.
     """
     based = (
-        with_main_object(pages)
+        with_listing_fields(with_main_object(pages))
         .withColumn("property_type", listing_type(F.col("url")))
         .withColumn("property_id", listing_id(F.col("url")))
     )
-    main, cache = F.col("main"), F.col("cache")
-    inner = object_position(main)
+    f, cache = F.col("f"), F.col("cache")
+    inner = object_position(f)
     position = inner if requests is None else F.coalesce(request_position(F.col(requests)), inner)
-    fields = common_fields(main, cache, F.col("_position"))
-    sold, active = sold_fields(main, cache, zone), for_sale_fields(main, cache, zone, as_of)
+    fields = common_fields(f, cache, F.col("_position"))
+    sold, active = sold_fields(f, cache, zone), for_sale_fields(f, cache, F.col("_listed"), as_of)
     is_sold = F.col("property_type") == "sold"
     by_type = {}
     for name in [*sold, *active]:
@@ -231,13 +247,14 @@ def extract_records(
             F.when(is_sold, s) if a is None else F.when(~is_sold, a) if s is None else F.when(is_sold, s).otherwise(a)
         )
     error = F.when(F.col("property_type").isNull(), F.lit("unknown_listing_type")).when(
-        main.isNull(), F.lit("no_listing_data")
+        F.col("main").isNull(), F.lit("no_listing_data")
     )
     known = ("property_id", "property_type", "url", "scraped_at")
     derived = ("price_change", "price_change_pct", "price_per_sqm_final", "price_per_sqm")
     data = [n for n in schemas.ANY_RECORD_FIELDS if n not in known and n not in derived]
     every = {**fields, **by_type}
-    return based.withColumn("_position", position).select(
+    listed = F.when(F.col("property_type") == "for_sale", listed_date(f, zone))
+    return based.withColumns({"_position": position, "_listed": listed}).select(
         "property_id",
         "property_type",
         "url",

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from estate_spark.functions.text import flexible_date
 from estate_spark.functions.variants import at, follow, text_of, unwrap
 from estate_spark.operators import links, pages
+from estate_spark.operators.quality import valid
 from estate_spark.plans import derived
+from estate_spark.plans.detail_load import checked_records
 from estate_spark.plans.registry import VIEW_SQL, query
+from estate_spark.session import materialise
 from estate_spark.sources import views
 
 VIEW_SQL["listing"] = derived.LISTING_PAGES_SQL
@@ -89,7 +92,7 @@ def _(spark, sf):
 
 
 def with_main(spark, sf):
-    return pages.with_main_object(derived.listing_pages(spark, sf))
+    return pages.with_listing_fields(pages.with_main_object(derived.listing_pages(spark, sf)))
 
 
 @query("p6_embedded_json", "SELECT url, NOT broken AS readable, true AS has_script FROM listing", *L)
@@ -142,7 +145,7 @@ def _(spark, sf):
     *L,
 )
 def _(spark, sf):
-    field = lambda name: unwrap(at(F.col("main"), name), F.col("cache"))
+    field = lambda name: unwrap(F.col("f")[name], F.col("cache"))
     place = F.when(F.col("cache").isNotNull(), field("municipality"))
     return with_main(spark, sf).select(
         "url",
@@ -161,8 +164,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     position = pages.request_position(F.col("requests"))
-    return derived.listing_pages(spark, sf).select(
-        "url", position["lat"].alias("latitude"), position["lng"].alias("longitude")
+    return derived.listing_pages(spark, sf).withColumn("position", position).select(
+        "url", "position.latitude", "position.longitude"
     )
 
 
@@ -173,14 +176,14 @@ def _(spark, sf):
     *L,
 )
 def _(spark, sf):
-    position = pages.object_position(F.col("main"))
-    return with_main(spark, sf).select("url", position["lat"].alias("latitude"), position["lng"].alias("longitude"))
+    position = pages.object_position(F.col("f"))
+    return with_main(spark, sf).withColumn("position", position).select("url", "position.latitude", "position.longitude")
 
 
 @query("p12_city_from_districts", "SELECT url, CASE WHEN NOT broken AND number_of_rooms <> 5 THEN city END AS city FROM listing", *L)
 def _(spark, sf):
     main, cache = F.col("main"), F.col("cache")
-    names = F.when(cache.isNotNull(), pages.district_names(main, cache))
+    names = F.when(cache.isNotNull(), pages.district_names(F.col("f"), cache))
     return with_main(spark, sf).select("url", pages.choose_city(names, at(main, "area", "string")).alias("city"))
 
 
@@ -327,10 +330,8 @@ def _(spark, sf):
     *L,
 )
 def _(spark, sf):
-    from estate_spark.operators.quality import valid
-    from estate_spark.plans.detail_load import checked_records
-
-    good = valid(checked_records(derived.listing_pages(spark, sf), CAPTURED, AS_OF, derived.SITE))
+    # staged first, as in the load: a filter on the errors would else be pushed down and repeat the extraction
+    good = valid(materialise(checked_records(derived.listing_pages(spark, sf), CAPTURED, AS_OF, derived.SITE)))
     sold, active = pages.as_type(good, "sold"), pages.as_type(good, "for_sale")
     return sold.unionByName(active, allowMissingColumns=True).select(
         "property_id", "property_type", "url", "city", "final_price", "asking_price", "price_per_sqm_final", "price_per_sqm"
