@@ -128,8 +128,8 @@ def same_ids(left: DataFrame, right: DataFrame, key: str = "property_id") -> Dat
     )
     per_id = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
     return per_id.agg(
-        F.count_if("l = 1 and r = 0").alias("only_left"),
-        F.count_if("l = 0 and r = 1").alias("only_right"),
+        F.count_if((F.col("l") == 1) & (F.col("r") == 0)).alias("only_left"),
+        F.count_if((F.col("l") == 0) & (F.col("r") == 1)).alias("only_right"),
     ).withColumn("same", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 

@@ -38,14 +38,17 @@ def typed(c: Column, source: T.DataType, target: T.DataType) -> Column:
         return strip(c.cast("string"))
     if source == target or isinstance(target, T.ArrayType):
         return c
-    text = strip(c) if isinstance(source, T.StringType) else c
+    # casts from text ignore surrounding blanks by themselves
     if isinstance(target, T.LongType):
-        number = text.try_cast("decimal(38,6)")
-        return F.when(number == F.floor(number), number).try_cast("long")
+        number = c.try_cast("decimal(38,6)")
+        return F.coalesce(
+            c.try_cast("long") if isinstance(source, T.StringType) else F.lit(None),
+            F.when(number == F.floor(number), number).try_cast("long"),
+        )
     if isinstance(target, T.BooleanType):
-        word = F.lower(text.cast("string"))
+        word = F.lower(F.trim(c.cast("string")))
         return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
-    return text.try_cast(target.simpleString())
+    return c.try_cast(target.simpleString())
 
 
 def type_records(raw: DataFrame, fields: dict[str, T.DataType] | None = None) -> DataFrame:

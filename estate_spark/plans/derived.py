@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estate_spark.plans.registry import VIEW_SQL
 from estate_spark.sources import views
 
 SITE = "https://homes.example/"
@@ -227,3 +228,10 @@ RAW_RECORDS_SQL = """
 SELECT *, CASE WHEN asking_price % 89 = 0 THEN 'rented' WHEN sale_year % 2 = 0 THEN 'sold' ELSE 'for_sale' END AS kind FROM sales
 """
 ERRORS_SQL = "concat_ws(';', " + ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for code, cond in _RULES.values()) + ")"
+
+VIEW_SQL.update(
+    listing=LISTING_PAGES_SQL,
+    search=SEARCH_PAGES_SQL,
+    raw=RAW_RECORDS_SQL,
+    checked=f"SELECT *, {ERRORS_SQL} AS errors FROM raw",
+)

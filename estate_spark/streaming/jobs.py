@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_spark.functions.ordering import previous_value
@@ -17,25 +17,38 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int = 1000, g
     return reader.parquet(path)
 
 
+def _with_event_time(stream: DataFrame, time: str) -> DataFrame:
+    """Zone-free times as instants read in UTC, which watermarks need; the session zone plays no part."""
+    if dict(stream.dtypes)[time] != "timestamp_ntz":
+        return stream
+    wall_clock = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(time))
+    return stream.withColumn(time, wall_clock.cast("timestamp"))
+
+
+def _zone_free(instant: Column) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def deduplicate(stream: DataFrame, key: str, time: str, delay: str = "7 days") -> DataFrame:
     """First arrival per key; repeats within the watermark delay are dropped.
 
     State older than the delay is released. Later repeats are the task of the
     anti join with the processed set.
     """
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return _with_event_time(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def weekly_activity(
     df: DataFrame, time: str = "recorded_at", delay: str = "7 days", slide: str | None = None
 ) -> DataFrame:
     """Events per week and kind; works on a stream and on a table alike."""
-    source = df.withWatermark(time, delay) if df.isStreaming else df
+    timed = _with_event_time(df, time)
+    source = timed.withWatermark(time, delay) if df.isStreaming else timed
     week = F.window(time, "7 days", slide) if slide else F.window(time, "7 days")
     return (
         source.groupBy(week.alias("w"), "event_type")
         .agg(F.count("*").alias("n_events"))
-        .select(F.col("w.start").alias("week_start"), "event_type", "n_events")
+        .select(_zone_free(F.col("w.start")).alias("week_start"), "event_type", "n_events")
     )
 
 
