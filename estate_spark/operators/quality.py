@@ -52,7 +52,7 @@ def typed(c: Column, source: T.DataType, target: T.DataType) -> Column:
 
 
 def type_records(raw: DataFrame, fields: dict[str, T.DataType] | None = None) -> DataFrame:
-    """All declared columns in their types, plus ``bad_types``: names whose text did not fit.
+    """All declared columns in their types, plus ``bad_types``: codes of columns whose text did not fit.
 
     Columns missing from the input become null; extra input columns are kept.
     """
@@ -66,10 +66,9 @@ def type_records(raw: DataFrame, fields: dict[str, T.DataType] | None = None) ->
         value = typed(F.col(name), present[name], target)
         out.append(value.alias(name))
         if present[name] != target:
-            misfits.append(F.when(F.col(name).isNotNull() & value.isNull(), F.lit(name)))
-    bad = F.array_compact(F.array(*misfits)) if misfits else F.array().cast("array<string>")
+            misfits.append(F.when(F.col(name).isNotNull() & value.isNull(), F.lit(f"{name}_type")))
     extra = [F.col(n) for n in present if n not in fields]
-    return raw.select(*out, *extra, bad.alias("bad_types"))
+    return raw.select(*out, *extra, F.concat_ws(";", *misfits, F.lit(None)).alias("bad_types"))
 
 
 def rules(site_prefix: str) -> dict[str, Column]:
@@ -95,10 +94,16 @@ def rules(site_prefix: str) -> dict[str, Column]:
 
 
 def check_records(typed_records: DataFrame, site_prefix: str) -> DataFrame:
-    """Adds ``errors``: codes of all broken rules, in rule order, type misfits last."""
+    """Adds ``errors``: codes of all broken rules, in rule order, type misfits last.
+
+    Codes are joined as text first, which skips nulls inside generated code;
+    an array of conditions would have to be filtered by an interpreted lambda.
+    """
     broken = [F.when(cond, F.lit(code)) for code, cond in rules(site_prefix).items()]
-    misfits = F.transform("bad_types", lambda n: F.concat(n, F.lit("_type")))
-    return typed_records.withColumn("errors", F.concat(F.array_compact(F.array(*broken)), misfits)).drop("bad_types")
+    text = F.concat_ws(";", *broken, F.nullif("bad_types", F.lit("")))
+    joined = typed_records.withColumn("_errors", text)
+    codes = F.when(F.col("_errors") == "", F.array().cast("array<string>")).otherwise(F.split("_errors", ";"))
+    return joined.withColumn("errors", codes).drop("bad_types", "_errors")
 
 
 def finish_records(checked: DataFrame) -> DataFrame:
@@ -131,7 +136,13 @@ def rejects(checked: DataFrame, *keep: str) -> DataFrame:
 
 
 def rule_counts(checked: DataFrame) -> DataFrame:
-    return checked.select(F.explode("errors").alias("rule")).groupBy("rule").agg(F.count("*").alias("n_records"))
+    """Records per broken rule.
+
+    Equal code lists are counted before they are opened: few rows are exploded,
+    and no filter on the list reaches below the count to repeat the checks.
+    """
+    lists = checked.groupBy("errors").agg(F.count("*").alias("n"))
+    return lists.select(F.explode("errors").alias("rule"), "n").groupBy("rule").agg(F.sum("n").alias("n_records"))
 
 
 def field_presence(df: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -15,6 +15,14 @@ from estate_spark.sources import views
 SITE = "https://homes.example/"
 
 
+def spread_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales rows hashed over all tasks before anything wide or costly is made from them.
+
+    A captured-page table has many splits; the joined sales of one small file would be one.
+    """
+    return views.sales(spark, sf_dir).repartition("property_id")
+
+
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing page per sale: ``page_id, url, html, requests``.
 
@@ -22,7 +30,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     without cache; 6 cache with alias keys and plain numbers; 7 broken JSON
     when the asking price is even, else as 1-4 under a URL with a slash.
     """
-    s = views.sales(spark, sf_dir)
+    s = spread_sales(spark, sf_dir)
     rooms = F.col("number_of_rooms")
     sold = F.col("sale_year") % 2 == 0
     alias, direct = rooms == 6, rooms == 5
@@ -180,7 +188,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = F.col("sale_year") % 2 == 0
     text = lambda c: F.col(c).cast("string")
     site = hit(97, "http://elsewhere.example/", F.lit(SITE))
-    return views.sales(spark, sf_dir).select(
+    return spread_sales(spark, sf_dir).select(
         F.col("property_id").alias("source_id"),
         hit(101, "  ", F.concat(F.lit(" "), "property_id")).alias("property_id"),
         hit(89, "rented", F.when(sold, "sold").otherwise("for_sale")).alias("property_type"),
