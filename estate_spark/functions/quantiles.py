@@ -17,14 +17,14 @@ BUCKETS_PER_E_FOLD = 256
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``keys, v, n``; null groups and null values are left out."""
+    """``keys, _v, _n``; null groups and null values are left out."""
     known = F.lit(True)
     for name in (*keys, value):
         known = known & F.col(name).isNotNull()
     return (
         df.filter(known)
-        .groupBy(*keys, F.col(value).alias("v"))
-        .agg(F.count("*").alias("n"))
+        .groupBy(*keys, F.col(value).alias("_v"))
+        .agg(F.count("*").alias("_n"))
     )
 
 
@@ -42,16 +42,16 @@ def quantiles_from_counts(
     counts: DataFrame, keys: Sequence[str], probs: dict[str, float]
 ) -> DataFrame:
     """``keys, n_rows`` and one linearly interpolated quantile per entry of ``probs``."""
-    bucketed = counts.withColumn("b", _bucket(F.col("v").cast("double")))
-    by_bucket = bucketed.groupBy(*keys, "b").agg(F.sum("n").alias("bn"))
+    bucketed = counts.withColumn("_b", _bucket(F.col("_v").cast("double")))
+    by_bucket = bucketed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
     group = Window.partitionBy(*keys)
-    before = group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.select(
         *keys,
-        "b",
-        "bn",
-        F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("start"),
-        F.sum("bn").over(group).alias("n_rows"),
+        "_b",
+        "_bn",
+        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_start"),
+        F.sum("_bn").over(group).alias("n_rows"),
     )
 
     def position(p: float) -> Column:
@@ -63,20 +63,20 @@ def quantiles_from_counts(
     wanted = F.lit(False)
     for p in probs.values():
         for rank in (F.floor(position(p)), F.ceil(position(p))):
-            wanted = wanted | holds(rank, F.col("start"), F.col("bn"))
-    hits = offsets.filter(wanted).drop("bn")
+            wanted = wanted | holds(rank, F.col("_start"), F.col("_bn"))
+    hits = offsets.filter(wanted).drop("_bn")
 
     inside = (
-        Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     )
-    ranked = bucketed.join(hits, [*keys, "b"]).withColumn(
-        "first_rank", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ranked = bucketed.join(hits, [*keys, "_b"]).withColumn(
+        "_first_rank", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     )
 
     aggs = [F.first("n_rows").alias("n_rows")]
     for name, p in probs.items():
         for side, rank in (("lo", F.floor(position(p))), ("hi", F.ceil(position(p)))):
-            at = F.when(holds(rank, F.col("first_rank"), F.col("n")), F.col("v").cast("double"))
+            at = F.when(holds(rank, F.col("_first_rank"), F.col("_n")), F.col("_v").cast("double"))
             aggs.append(F.max(at).alias(f"{name}_{side}"))
     edges = ranked.groupBy(*keys).agg(*aggs)
     out = [*keys, "n_rows"]
@@ -101,7 +101,7 @@ def group_summary(
     """
     counts = value_counts(df, keys, value)
     means = counts.groupBy(*keys).agg(
-        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean")
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean")
     )
     return quantiles_from_counts(counts, keys, probs).join(means, list(keys))
 

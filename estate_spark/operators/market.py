@@ -67,7 +67,7 @@ def _fenced_counts(df: DataFrame, key: str, value: str, k: float) -> DataFrame:
     box = quantiles_from_counts(counts, [key], QUARTILES)
     reach = F.lit(k) * (F.col("q3") - F.col("q1"))
     return counts.join(box, key).withColumn(
-        "inside", F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
+        "inside", F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
     )
 
 
@@ -80,15 +80,15 @@ def box_plot(df: DataFrame, key: str = "ownership_form", value: str = "final_pri
     return fenced.groupBy(key).agg(
         F.first("n_rows").alias("n_rows"),
         *[F.first(q).alias(q) for q in QUARTILES],
-        F.min(F.when(F.col("inside"), F.col("v"))).alias("whisker_low"),
-        F.max(F.when(F.col("inside"), F.col("v"))).alias("whisker_high"),
-        F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("n_outliers"),
+        F.min(F.when(F.col("inside"), F.col("_v"))).alias("whisker_low"),
+        F.max(F.when(F.col("inside"), F.col("_v"))).alias("whisker_high"),
+        F.sum(F.when(F.col("inside"), 0).otherwise(F.col("_n"))).alias("n_outliers"),
     )
 
 
 def box_plot_outliers(df: DataFrame, key: str = "ownership_form", value: str = "final_price", k: float = 1.5) -> DataFrame:
     """The outlying values per group and how often each occurs."""
-    return _fenced_counts(df, key, value, k).filter(~F.col("inside")).select(key, F.col("v").alias(value), "n")
+    return _fenced_counts(df, key, value, k).filter(~F.col("inside")).select(key, F.col("_v").alias(value), F.col("_n").alias("n"))
 
 
 def neighborhood_table(sales: DataFrame) -> DataFrame:
