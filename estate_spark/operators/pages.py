@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estate_spark import schemas
+from estate_spark.session import computed_once
 from estate_spark.functions.text import blank_to_null, flexible_date, listing_id, listing_type, strip
 from estate_spark.functions.variants import at, fields_of, first_usable, let, text_of, unwrap, usable
 
@@ -48,7 +49,7 @@ def with_main_object(pages: DataFrame, html: str = "html") -> DataFrame:
     record kind is the one wanted.
     """
     props = F.from_json(embedded_json(F.col(html)), PAGE_DATA)["props"]["pageProps"]
-    parsed = pages.withColumn("_props", props)
+    parsed = computed_once(pages, "_props", props)
     cache, direct = F.col("_props")["__APOLLO_STATE__"], usable(F.col("_props")["property"])
     records = F.filter(F.map_values(cache), lambda v: at(v, "__typename", "string").isin(*RECORD_KINDS))
     found = F.get(records, 0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estate_spark import schemas
+from estate_spark.session import computed_once
 from estate_spark.functions.text import strip
 from estate_spark.operators.clean import real_coordinate, with_asking_per_sqm, with_sold_metrics
 
@@ -103,7 +104,7 @@ def check_records(typed_records: DataFrame, site_prefix: str) -> DataFrame:
     text = F.concat_ws(";", *broken, F.nullif("bad_types", F.lit("")))
     joined = typed_records.withColumn("_errors", text)
     codes = F.when(F.col("_errors") == "", F.array().cast("array<string>")).otherwise(F.split("_errors", ";"))
-    return joined.withColumn("errors", codes).drop("bad_types", "_errors")
+    return computed_once(joined, "errors", codes).drop("bad_types", "_errors")
 
 
 def finish_records(checked: DataFrame) -> DataFrame:

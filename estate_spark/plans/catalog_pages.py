@@ -328,7 +328,7 @@ def _(spark, sf):
     *L,
 )
 def _(spark, sf):
-    # staged first, as in the load: a filter on the errors would else be pushed down and repeat the extraction
+    # staged first, as in the load: both record types read it
     good = valid(materialise(checked_records(derived.listing_pages(spark, sf), CAPTURED, AS_OF, derived.SITE)))
     sold, active = pages.as_type(good, "sold"), pages.as_type(good, "for_sale")
     return sold.unionByName(active, allowMissingColumns=True).select(

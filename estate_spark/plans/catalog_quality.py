@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from estate_spark.operators import incremental, quality
 from estate_spark.plans import derived
 from estate_spark.plans.registry import query
-from estate_spark.session import materialise
 from estate_spark.sources import views
 
 R = ("sales", "raw", "checked")
@@ -35,9 +34,7 @@ def _(spark, sf):
 def _rule_query(name, code, condition):
     @query(f"{name}_{code}", f"SELECT property_id AS source_id FROM raw WHERE {condition}", "sales", "raw")
     def _(spark, sf):
-        # staged first, as in the load: a pushed-down filter would repeat every check
-        staged = materialise(checked(spark, sf).select("source_id", "errors"))
-        return staged.filter(F.array_contains("errors", code)).select("source_id")
+        return checked(spark, sf).filter(F.array_contains("errors", code)).select("source_id")
 
 
 for _name, (_code, _condition) in derived.RULES.items():
@@ -101,8 +98,7 @@ def _(spark, sf):
     *R,
 )
 def _(spark, sf):
-    staged = materialise(checked(spark, sf).select("errors"))
-    return quality.distribution(quality.rejects(staged), "error", "Unknown error")
+    return quality.distribution(quality.rejects(checked(spark, sf)), "error", "Unknown error")
 
 
 _FILLED = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in PRESENT_SQL.values())
@@ -167,6 +163,6 @@ def _(spark, sf):
     *R,
 )
 def _(spark, sf):
-    return quality.valid(materialise(quality.finish_records(checked(spark, sf)))).select(
+    return quality.valid(quality.finish_records(checked(spark, sf))).select(
         "property_id", "property_type", "price_change", "price_per_sqm"
     )

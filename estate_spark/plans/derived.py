@@ -19,8 +19,10 @@ def spread_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales rows hashed over all tasks before anything wide or costly is made from them.
 
     A captured-page table has many splits; the joined sales of one small file would be one.
+    The number is given, as sizes in bytes say little about the work per row to come.
     """
-    return views.sales(spark, sf_dir).repartition("property_id")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return views.sales(spark, sf_dir).repartition(parts, "property_id")
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
