@@ -80,22 +80,25 @@ def _(spark, sf):
 
 
 # listings of even room counts keep their id in the sale, the others are known by address only
-_LISTED = """l AS (SELECT property_id, concat(neighborhood, ' ', number_of_rooms, CASE WHEN living_area > 50 THEN ', ' ELSE '  ' END,
+# ids may repeat, so matches are counted per listing row
+_LISTED = """l AS (SELECT row_number() OVER () AS listing_row, property_id, concat(neighborhood, ' ', number_of_rooms, CASE WHEN living_area > 50 THEN ', ' ELSE '  ' END,
                   CAST(living_area AS INTEGER)) AS address, listed_date FROM sales WHERE sale_year % 2 = 1),
        s AS (SELECT CASE WHEN number_of_rooms % 2 = 0 THEN property_id ELSE concat('s', property_id) END AS property_id,
                     lower(concat(neighborhood, ' ', number_of_rooms, ' ', CAST(living_area AS INTEGER))) AS address, sold_date, final_price FROM sales),
        n AS (SELECT l.*, trim(regexp_replace(lower(address), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS addr FROM l),
        t AS (SELECT property_id, trim(regexp_replace(address, '[^\\p{L}\\p{N}]+', ' ', 'g')) AS addr, sold_date, final_price FROM s),
-       byid AS (SELECT n.property_id, 'id' AS matched_by, t.property_id AS sale_id, t.sold_date FROM n JOIN t ON n.property_id = t.property_id),
+       byid AS (SELECT n.property_id, 'id' AS matched_by, t.property_id AS sale_id, t.sold_date,
+                       row_number() OVER (PARTITION BY n.listing_row ORDER BY t.sold_date, t.final_price) AS rn
+                FROM n JOIN t ON n.property_id = t.property_id),
        byad AS (SELECT n.property_id, 'address' AS matched_by, t.property_id AS sale_id, t.sold_date,
-                       row_number() OVER (PARTITION BY n.property_id ORDER BY t.sold_date, t.property_id) AS rn
+                       row_number() OVER (PARTITION BY n.listing_row ORDER BY t.sold_date, t.property_id) AS rn
                 FROM n JOIN t ON n.addr = t.addr AND t.sold_date >= n.listed_date
                 WHERE n.property_id NOT IN (SELECT property_id FROM t))"""
 
 
 @query(
     "c5_listing_sale_match",
-    f"""WITH {_LISTED} SELECT property_id, matched_by, sale_id, strftime(sold_date, '%Y-%m-%d') AS sold_on FROM byid
+    f"""WITH {_LISTED} SELECT property_id, matched_by, sale_id, strftime(sold_date, '%Y-%m-%d') AS sold_on FROM byid WHERE rn = 1
         UNION ALL SELECT property_id, matched_by, sale_id, strftime(sold_date, '%Y-%m-%d') FROM byad WHERE rn = 1""",
     "sales",
 )

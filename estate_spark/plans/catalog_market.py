@@ -182,10 +182,10 @@ def comparable_sales(spark, sf):
 
 @query(
     "e2_newest_comparables_fine_areas",
-    """WITH t AS (SELECT property_id, neighborhood, number_of_rooms, sale_year, final_price,
+    """WITH t AS (SELECT row_number() OVER () AS probe_row, property_id, neighborhood, number_of_rooms, sale_year, final_price,
                          living_area + (final_price % 1000) / 1000 AS living_area FROM sales),
        r AS (SELECT p.property_id AS probe_id, s.property_id AS comp_id,
-                    row_number() OVER (PARTITION BY p.property_id ORDER BY s.sale_year DESC, s.property_id) AS comp_rank
+                    row_number() OVER (PARTITION BY p.probe_row ORDER BY s.sale_year DESC, s.property_id) AS comp_rank
              FROM t p JOIN t s ON p.neighborhood = s.neighborhood AND p.number_of_rooms = s.number_of_rooms
               AND abs(s.living_area - p.living_area) <= 10)
        SELECT probe_id, comp_id, CAST(comp_rank AS INTEGER) AS comp_rank FROM r WHERE comp_rank <= 5""",
