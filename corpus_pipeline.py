@@ -3,15 +3,70 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_spark.llm import language_id, toxicity
+from estate_spark.llm import byte_bpe, decontamination, jaccard, language_id, toxicity
 from estate_spark.llm.queries import fold, toxicity_labels
 from estate_spark.session import shared_dir
 
-STAGES: list = []
+MOST_BITS_PER_BYTE = 6.5  # a text that costs more under its best language is in none of them
+
+
+def ids_where(judged: DataFrame, condition: Column) -> DataFrame:
+    """Distinct non-null ids of judged rows."""
+    return judged.where(condition & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("judged_id")).distinct()
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents but those with these ids; documents without an id stay."""
+    return docs.join(ids, F.col("doc_id") == F.col("judged_id"), "left_anti")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; null and empty texts have no evidence and stay."""
+    scored = toxicity.score_toxicity(docs, toxicity_labels(spark, docs, sf_dir), label="label")
+    return without(docs, ids_where(scored, F.col("predicted") == 1))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some learned language; texts without a letter, or far from every language, go."""
+    found = language_id.identify(docs, docs.where(fold("doc_id", 4) != 2))
+    rejected = (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("bits_per_byte") > MOST_BITS_PER_BYTE)
+    return without(docs, ids_where(found, rejected))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies (five words, 0.8); repeated rows of it become one."""
+    found = jaccard.near_duplicates(docs, words=5, percent=80)
+    kept = without(docs, ids_where(found, F.col("doc_id") != F.col("component_id")))
+    named = kept.where("doc_id IS NOT NULL")
+    return named.dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, ids_where(leaks, F.lit(True)))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids, and whether they decode to the text's own bytes."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("encoding", encoding_stage),
+]
 ORACLE_SQL = None
 
 

@@ -217,7 +217,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     def gather(routed: DataFrame) -> DataFrame:
         """Best rows of each (query, block) pair of ``routed``: cell, part, queries, v, h, worst."""
         pairs = routed.select("cell", "part", "queries").distinct()
-        against = candidates.join(pairs, ["cell", "part"]).select("cell", "part", "queries", "v", "h")
+        against = candidates.join(pairs, ["cell", "part"]).select("cell", "part", "queries", "v", "h").toDF("in_cell", "in_part", "by", "v", "h")
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             here, _ = shared.value
@@ -232,8 +232,8 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
             joined = [np.concatenate(part) if part else np.zeros(0, t) for part, t in zip(out, ("i8", "i8", "f8"))]
             return pa.table([pa.array(a) for a in joined], names=["q", "c", "score"])
 
-        keys = ["cell", "part", "queries"]
-        return routed.groupBy(*keys).cogroup(against.groupBy(*keys)).applyInArrow(meet, "q long, c long, score double")
+        asked_for = routed.groupBy("cell", "part", "queries")
+        return asked_for.cogroup(against.groupBy("in_cell", "in_part", "by")).applyInArrow(meet, "q long, c long, score double")
 
     top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     at_home = asking.join(named.where("ids IS NOT NULL").select(F.col("cell")).distinct(), F.col("home") == F.col("cell"))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_spark.llm import byte_bpe, language_id, token_counts, token_files, toxicity
+from estate_spark.llm import byte_bpe, decontamination, jaccard, language_id, nearest, token_counts, token_files, toxicity, url_filter, warc
 from estate_spark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return warc.read_archives(manifest)
+
+
+@query
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,6 +91,46 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def url_filter_sql() -> str:
+    """Each rule tried on each url; the longest that fits wins."""
+    fits = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    tried = " ".join(
+        f"WHEN {fits.format(h=r.host, p=r.path)} THEN '{r.text}'" for r in sorted(URL_RULES, key=lambda r: -len(r.text))
+    )
+    blocked = ", ".join(f"'{r.text}'" for r in URL_RULES if r.action == "block")
+    return f"""
+        WITH parts AS (
+            SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), judged AS (SELECT page_id, host, path, CASE {tried} END AS rule FROM parts)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ({blocked}) THEN 'block' ELSE 'allow' END AS verdict FROM judged
+    """
+
+
+ORACLES["op8_url_filter"] = url_filter_sql()
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with benchmark text, one row for each item found; clean documents have none."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(

@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estate_spark.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_BITS = 1 << 25  # of one level: 4 MB, the bound on what goes to every task
 LEVELS = 64
@@ -66,10 +68,10 @@ def lookup_keys(host: Column, path: Column, rules: list[Rule]) -> list[Column]:
 
 
 def positions(key: Column, level: Level | None = None, *, bits: int = 0, hashes: int = 0, seed: int = 0) -> list[Column]:
-    """The bits of a key: double hashing of one 64-bit hash for each half."""
+    """The bits of a key, by double hashing with two 31-bit hashes."""
     if level is not None:
         bits, hashes, seed = level.bits, level.hashes, level.seed
-    one, two = F.xxhash64(key, F.lit(2 * seed)), F.xxhash64(key, F.lit(2 * seed + 1))
+    one, two = (F.shiftrightunsigned(F.xxhash64(key, F.lit(2 * seed + k)), 33) for k in range(2))
     return [F.pmod(one + two * F.lit(k), F.lit(bits).cast("long")) for k in range(hashes)]
 
 
@@ -138,7 +140,8 @@ def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
     keys = lookup_keys(F.col("host"), F.col("path"), rules)
     found = F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
     if keys:
-        universe = rows.select(F.explode(F.array_distinct(F.array(*keys))).alias("key")).where("key IS NOT NULL").distinct()
+        universe = rows.select(F.explode(F.array_distinct(F.array(*keys))).alias("key")).where("key IS NOT NULL")
+        universe = materialise(universe.distinct())
         hits = []
         for action in sorted({rule.action for rule in rules}):
             cascade = build_cascade(pages.sparkSession, [r.text for r in rules if r.action == action], universe)
