@@ -70,7 +70,7 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER, min_count: int = MI
         place = {context: i for i, context in enumerate(kept)}
         index = np.array(kept, np.int64)
         table = np.zeros((len(kept), width, len(languages)))
-        for lang, (key, n) in enumerate(counts):
+        for lang, (key, n) in enumerate(counts) if kept else ():
             at = np.searchsorted(index, key >> 8)
             known = (at < len(index)) & (index[np.minimum(at, len(index) - 1)] == key >> 8)
             table[at[known], symbol[key[known] & 255], lang] = n[known]
@@ -108,7 +108,7 @@ def code_lengths(trees: ContextTrees, data: np.ndarray, starts: np.ndarray, orde
     stream[np.arange(len(data)) + shift] = data
     symbols = trees.symbol[stream]
     child, node = trees.child.ravel(), np.zeros(len(stream), np.int32)
-    longer = np.ones(len(stream) - 0, bool)
+    longer = np.ones(len(stream), bool)
     for k in range(1, order + 1):
         before = np.concatenate([np.zeros(k, np.int32), symbols[:-k]]) if len(symbols) > k else np.zeros(len(symbols), np.int32)
         found = child[node * width + before]
