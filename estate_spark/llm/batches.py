@@ -12,6 +12,13 @@ import pyarrow.fs
 SLICE_BYTES = 1 << 20  # text worked on at once by the numpy operators, beyond a single longer text
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches cut into shorter ones, so that what is made from one of them stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All values' bytes in one array, and where each value starts (one more entry than values); null is empty."""
     filled = pc.fill_null(column.cast(pa.large_binary()), b"")

@@ -14,6 +14,7 @@ and moves are made when first reached and kept in the worker.
 from __future__ import annotations
 
 import base64
+import gc
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estate_spark.llm.batches import lists_of
+from estate_spark.llm.batches import lists_of, parts
 from estate_spark.llm.pretokens import TextEncoder
 
-STATES = 100_000  # kept in a worker before it starts anew
-PAIRS = 500_000
+STATES = 50_000  # kept in a worker before it starts anew
+PAIRS = 200_000
 DECODE_IDS = 65_536  # ids decoded at once
 
 
@@ -217,9 +218,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(ranks_path, pattern)
-        for batch in batches:
-            chunks = [encoder.encode(value or "") for value in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists_of(chunks, "<i4", pa.int32())], ["key", "ids"])
+        gc.disable()  # memos hold many tuples and no cycles; looking through them again and again takes a third of the time
+        try:
+            for batch in parts(batches):
+                chunks = [encoder.encode(value or "") for value in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists_of(chunks, "<i4", pa.int32())], ["key", "ids"])
+        finally:
+            gc.enable()
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {key_type}, ids array<int>")
     return out.toDF(key, ids)
@@ -238,17 +243,17 @@ def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", decoded: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks_path)
-        for batch in batches:
+        for batch in parts(batches):
             bodies, whole = [], []
             for row in batch.column(place):
                 numbers = np.zeros(0, np.int32) if row.values is None else row.values.to_numpy(zero_copy_only=False)
-                machine, parts = Utf8Machine(), []
+                machine, pieces = Utf8Machine(), []
                 for at in range(0, len(numbers), DECODE_IDS):
-                    part = b"".join(map(table.__getitem__, numbers[at : at + DECODE_IDS].tolist()))
-                    machine.feed(part)
-                    parts.append(part)
+                    piece = b"".join(map(table.__getitem__, numbers[at : at + DECODE_IDS].tolist()))
+                    machine.feed(piece)
+                    pieces.append(piece)
                 machine.feed(b"", last=True)
-                bodies.append(b"".join(parts))
+                bodies.append(b"".join(pieces))
                 whole.append(machine.valid)
             columns = [*batch.columns, pa.array(bodies, pa.binary()), pa.array(whole, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, decoded, valid])

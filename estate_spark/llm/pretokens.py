@@ -14,7 +14,7 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNKS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 RARE_SPACE = re.compile(f"[{SPACES[6:]}]")
 BEFORE_SPACE = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
-MEMO_ROWS = 300_000  # words that follow a space; a quarter of it for what does not
+MEMO_ROWS = 200_000  # words that follow a space; a quarter of it for what does not
 
 
 class TextEncoder:
