@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from estate_spark.llm.batches import lists_of, parts
 from estate_spark.llm.pretokens import TextEncoder
 
-STATES = 50_000  # kept in a worker before it starts anew
-PAIRS = 200_000
+STATES = 100_000  # kept in a worker before it starts anew
+PAIRS = 300_000
 DECODE_IDS = 65_536  # ids decoded at once
 
 
