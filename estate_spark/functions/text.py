@@ -64,6 +64,9 @@ def inner_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]*>", " "), "&nbsp;|&#160;", " ")
 
 
+# The calendar's bounds for epoch seconds: the years 1 to 9999, one day in from either end for any zone.
+FIRST_SECOND, LAST_SECOND = -62_135_510_400, 253_402_214_400
+
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 
 
@@ -74,7 +77,7 @@ def flexible_date(c: Column, zone: str = "UTC") -> Column:
     session time zone plays no part. Anything else becomes null.
     """
     seconds = c.try_cast("double")
-    usable = F.when(F.abs(seconds) < 2.0e11, seconds)
+    usable = F.when((seconds >= FIRST_SECOND) & (seconds <= LAST_SECOND), seconds)
     epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), usable
     )

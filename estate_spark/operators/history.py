@@ -82,20 +82,20 @@ def normal_address(c: Column) -> Column:
 def match_listings(listings: DataFrame, sales: DataFrame) -> DataFrame:
     """Active listings with the sale that ended them: by id, else by address.
 
-    By address the first sale on or after the listing date counts. Both
+    Either way the first sale on or after the listing date counts; a listing
+    whose id was only sold before is tried by address, as it is new. Both
     lookups are time lookups per key, so a shared address forms no pairs.
     Expects ``property_id, address, listed_date`` on listings and
     ``property_id, address, sold_date, final_price`` on sales.
     """
-    one_sale = sales.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("property_id").orderBy("sold_date", "final_price"))
-    ).filter("_rn = 1").select("property_id", "sold_date", "final_price")
-    by_id = listings.join(one_sale, "property_id").withColumn("matched_by", F.lit("id")).withColumn(
-        "sale_id", F.col("property_id")
-    )
-    rest = listings.join(one_sale.select("property_id"), "property_id", "left_anti").withColumn(
-        "addr", normal_address(F.col("address"))
-    ).filter(F.col("addr").isNotNull())
+    own_sales = sales.select("property_id", "sold_date", "final_price")
+    by_id = asof_match(
+        listings, own_sales, ["property_id"], "listed_date", "sold_date", month_bucket, backward=False, tie_break=[F.col("final_price")]
+    ).withColumn("matched_by", F.lit("id")).withColumn("sale_id", F.col("property_id"))
+    known = by_id.select(F.col("property_id").alias("_id"), F.col("listed_date").alias("_listed")).distinct()
+    rest = listings.join(
+        known, (F.col("property_id") == F.col("_id")) & (F.col("listed_date") == F.col("_listed")), "left_anti"
+    ).withColumn("addr", normal_address(F.col("address"))).filter(F.col("addr").isNotNull())
     sold = sales.select(
         F.col("property_id").alias("sale_id"),
         normal_address(F.col("address")).alias("addr"),
@@ -124,7 +124,7 @@ def price_in_force(sold: DataFrame, history: DataFrame, sold_at: str = "sold_at"
 
 
 def to_base_year(sales: DataFrame, index: DataFrame, base_year: int = 2024, price: str = "final_price") -> DataFrame:
-    """Prices scaled by the index of the base year over that of the sale year.
+    """Prices scaled by the index of the base year over that of the sale year; null where either year is missing.
 
     ``index(year, level)`` holds one row per year; Spark broadcasts it by size.
     """
@@ -132,7 +132,7 @@ def to_base_year(sales: DataFrame, index: DataFrame, base_year: int = 2024, pric
     base = F.max(F.when(F.col("year") == base_year, F.col("level"))).over(whole_index)
     ratios = index.select("year", (base / F.col("level")).alias("ratio"))
     return (
-        sales.join(ratios, F.col("sale_year") == F.col("year"))
+        sales.join(ratios, F.col("sale_year") == F.col("year"), "left")
         .drop("year")
         .withColumn("adjusted_price", F.floor(F.col(price) * F.col("ratio") + 0.5))
     )

@@ -17,7 +17,8 @@ ACTIVE_EXCLUDED = ("/bostader", "/sok", "/filter")
 SOLD_PATH = "/salda/lagenhet-"
 
 # Fixed patterns: result counts and page numbers.
-RESULT_COUNT = r"(\d+(?:\s?\d+)*)\s*(?:objekt|träffar)"
+# Possessive and never begun inside a run of digits, so that long runs are read once.
+RESULT_COUNT = r"(?<!\d)(?<!\d\s)(\d(?:\s?+\d)*+)\s*+(?:objekt|träffar)"
 SHOWN_OF_TOTAL = r"Visar [^\n]*?av([\s \d]+)"
 PAGE_NUMBER = r"page=(\d+)(?:&|$)"
 
@@ -97,7 +98,7 @@ def first_per(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     """First row per key in the given order.
 
     The rank limit is applied on the map side before the shuffle, so a hot key
-    sends one row per input partition. Rows without a key are kept.
+    sends one row per input partition. Rows without a key count as one key.
     """
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.filter("_rn = 1").drop("_rn")

@@ -41,11 +41,14 @@ def typed(c: Column, source: T.DataType, target: T.DataType) -> Column:
         return c
     # casts from text ignore surrounding blanks by themselves
     if isinstance(target, T.LongType):
-        number = c.try_cast("decimal(38,6)")
-        return F.coalesce(
-            c.try_cast("long") if isinstance(source, T.StringType) else F.lit(None),
-            F.when(number == F.floor(number), number).try_cast("long"),
-        )
+        if not isinstance(source, T.StringType):
+            number = c.try_cast("double")
+            return F.when(number == F.floor(number), c).try_cast("long")
+        # digits after the point count however small, so the text decides, not a rounded number
+        fraction = F.regexp_extract(F.trim(c), r"^[+-]?\d*\.(\d*)$", 1)
+        plain = F.when(F.rlike(fraction, F.lit(r"^0*$")), F.trim(c)).try_cast("decimal(38,6)").try_cast("long")
+        number = F.when(F.contains(F.lower(c), F.lit("e")), c).try_cast("double")
+        return F.coalesce(c.try_cast("long"), plain, F.when(number == F.floor(number), number).try_cast("long"))
     if isinstance(target, T.BooleanType):
         word = F.lower(F.trim(c.cast("string")))
         return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)

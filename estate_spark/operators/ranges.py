@@ -12,11 +12,15 @@ MAX_VALUE = 500
 
 
 def unit_histogram(df: DataFrame, column: str = "living_area", low: int = 0, high: int = MAX_VALUE) -> DataFrame:
-    """Rows per whole unit in ``[low, high)``: at most ``high - low`` rows whatever the input size."""
-    unit = F.floor(F.col(column)).cast("int")
+    """Rows per whole unit: at most ``high - low + 3`` rows whatever the input size.
+
+    All values of at least ``high`` count under the unit ``high``, all below
+    ``low`` under ``low - 1``, and missing ones under a null unit, so the counts
+    add up to the table.
+    """
+    unit = F.least(F.greatest(F.floor(F.col(column)), F.lit(low - 1)), F.lit(high)).cast("int")
     return (
-        df.select(unit.alias("unit"))
-        .filter((F.col("unit") >= low) & (F.col("unit") < high))
+        df.select(F.when(F.col(column).isNotNull(), unit).alias("unit"))
         .groupBy("unit")
         .agg(F.count("*").alias("n"))
     )
@@ -86,12 +90,21 @@ def density_ranges(
 
 
 def assign_ranges(df: DataFrame, ranges: DataFrame, column: str = "living_area") -> DataFrame:
-    """Range of every row, by equality on the whole unit.
+    """Every row with its range, by equality on the whole unit.
 
-    Ranges are opened into units (at most the covered span, a few hundred
-    rows), which lets Spark broadcast them by measured size.
+    Rows beyond the last range get an open one (``lo`` is its end, ``hi`` null),
+    rows before the first one ``hi`` alone, rows without a value neither. Ranges
+    are opened into units (at most the covered span, a few hundred rows), which
+    lets Spark broadcast them by measured size.
     """
+    span = ranges.agg(F.min("lo").alias("low"), F.max("hi").alias("high")).first()
     by_unit = ranges.select(
         "lo", "hi", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("_unit")
     )
-    return df.withColumn("_unit", F.floor(F.col(column)).cast("int")).join(by_unit, "_unit").drop("_unit")
+    unit = F.floor(F.col(column))
+    inside = F.when((unit >= span.low) & (unit < span.high), unit).cast("int")
+    found = df.withColumn("_unit", inside).join(by_unit, "_unit", "left").drop("_unit")
+    above, below = F.col(column) >= F.lit(span.high), F.col(column) < F.lit(span.low)
+    return found.withColumn("lo", F.when(above, F.lit(span.high)).otherwise(F.col("lo"))).withColumn(
+        "hi", F.when(below, F.lit(span.low)).otherwise(F.col("hi"))
+    )

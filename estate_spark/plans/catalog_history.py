@@ -89,11 +89,11 @@ _LISTED = """l AS (SELECT row_number() OVER () AS listing_row, property_id, conc
        t AS (SELECT property_id, trim(regexp_replace(address, '[^\\p{L}\\p{N}]+', ' ', 'g')) AS addr, sold_date, final_price FROM s),
        byid AS (SELECT n.property_id, 'id' AS matched_by, t.property_id AS sale_id, t.sold_date,
                        row_number() OVER (PARTITION BY n.listing_row ORDER BY t.sold_date, t.final_price) AS rn
-                FROM n JOIN t ON n.property_id = t.property_id),
+                FROM n JOIN t ON n.property_id = t.property_id AND t.sold_date >= n.listed_date),
        byad AS (SELECT n.property_id, 'address' AS matched_by, t.property_id AS sale_id, t.sold_date,
                        row_number() OVER (PARTITION BY n.listing_row ORDER BY t.sold_date, t.property_id) AS rn
                 FROM n JOIN t ON n.addr = t.addr AND t.sold_date >= n.listed_date
-                WHERE n.property_id NOT IN (SELECT property_id FROM t))"""
+                WHERE NOT EXISTS (SELECT 1 FROM t AS own WHERE own.property_id = n.property_id AND own.sold_date >= n.listed_date))"""
 
 
 @query(

@@ -292,7 +292,8 @@ def _(spark, sf):
 @query(
     "r2_range_assignment",
     f"""WITH {RANGE_CHAIN} SELECT property_id, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi
-        FROM sales JOIN rng ON living_area >= lo AND living_area < hi""",
+        FROM sales LEFT JOIN (SELECT lo, CAST(hi AS BIGINT) AS hi FROM rng UNION ALL SELECT 500, NULL)
+        ON living_area >= lo AND (hi IS NULL OR living_area < hi)""",
     "sales",
     recursive=True,
 )

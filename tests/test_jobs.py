@@ -122,3 +122,50 @@ def test_sliding_weeks(spark):
     h = views.price_history(spark, SF_DIR)
     sliding = jobs.weekly_activity(h, slide="1 day")
     assert sliding.agg(F.sum("n_events")).first()[0] == 7 * h.count()
+
+
+@pytest.fixture
+def captured(spark):
+    """Three pages of good listings, taken from the derived ones."""
+    return derived.listing_pages(spark, SF_DIR).select("page_id", "url", "html").orderBy("page_id").limit(3).collect()
+
+
+def counts(spark, root, run):
+    of = lambda name: spark.read.parquet(f"{root}/{name}").filter(F.col("run_id") == run)
+    try:
+        rejected = {(r.url, r.error) for r in of("rejects").collect()}
+    except Exception:
+        rejected = set()
+    return of("records").count(), rejected
+
+
+def test_every_link_ends_as_record_or_reject(spark, captured, tmp_path):
+    pages = spark.createDataFrame([tuple(r) for r in captured] + [("~later", captured[0].url, captured[0].html)], "page_id string, url string, html string")
+    links = spark.createDataFrame([(r.url, None) for r in captured] + [("https://x/lagenhet-9", None), (None, "77")], "url string, property_id string")
+    detail_load.load(spark, links, pages, str(tmp_path), "run-1", **SETTINGS)
+    n, rejected = counts(spark, tmp_path, "run-1")
+    plain = {(u, e) for u, e in rejected if e in ("no_page", "no_url")}
+    assert plain == {("https://x/lagenhet-9", "no_page"), (None, "no_url")}
+    assert n + len({u for u, _ in rejected}) == 5  # a page captured twice is one record
+
+
+def test_repeated_run_leaves_no_old_rejects(spark, captured, tmp_path):
+    good = spark.createDataFrame([tuple(r) for r in captured], "page_id string, url string, html string")
+    links = good.select("url")
+    detail_load.load(spark, links, good.limit(0), str(tmp_path), "run-1", **SETTINGS)
+    detail_load.load(spark, links, good, str(tmp_path), "run-1", **SETTINGS)
+    n, rejected = counts(spark, tmp_path, "run-1")
+    assert not any(e == "no_page" for _, e in rejected) and n + len({u for u, _ in rejected}) == 3
+
+
+def test_own_sale_before_the_listing_is_not_its_end(rows):
+    listed = rows([("1", "A 1", date(2024, 5, 1))], "property_id string, address string, listed_date date")
+    sold = rows([("1", "A 1", date(2020, 1, 1), 1), ("1", "A 1", date(2024, 6, 1), 2)], "property_id string, address string, sold_date date, final_price long")
+    assert [r.sold_date for r in history.match_listings(listed, sold).collect()] == [date(2024, 6, 1)]
+
+
+def test_sales_without_an_index_year_stay(rows):
+    sales = rows([(2020, 100), (2021, 100), (None, 100)], "sale_year int, final_price long")
+    index = rows([(2020, 1.0), (2024, 2.0)], "year int, level double")
+    got = history.to_base_year(sales, index).collect()
+    assert sorted((r.sale_year or 0, r.adjusted_price) for r in got if r.sale_year == 2020) == [(2020, 200)] and len(got) == 3

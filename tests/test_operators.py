@@ -199,3 +199,20 @@ def test_pagination_reads_entities_and_spaces(rows):
 def test_checkpoint_uses_the_configured_folder(spark, rows):
     assert materialise(rows([(1,)], "i int")).count() == 1
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_every_row_gets_a_range_bucket(rows):
+    df = rows([(1, 20.5), (2, 600.0), (3, None), (4, -3.0)], "id int, living_area double")
+    found = ranges.density_ranges(ranges.unit_histogram(df), 0, 500)
+    got = {r.id: (r.lo, r.hi) for r in ranges.assign_ranges(df, found).collect()}
+    assert got[2] == (500, None) and got[3] == (None, None) and got[4] == (None, 0) and got[1][0] <= 20 < got[1][1]
+    assert sum(r.n for r in ranges.unit_histogram(df).collect()) == 4
+
+
+def test_long_runs_of_digits_are_read_once(spark):
+    import time
+
+    pages = spark.createDataFrame([(1, "u", "9" * 100_000), (2, "u", "1 234 objekt")], "page_id int, url string, html string")
+    began = time.time()
+    text = pages.select(F.regexp_extract("html", links.RESULT_COUNT, 1).alias("n")).collect()
+    assert [r.n for r in text] == ["", "1 234"] and time.time() - began < 20
