@@ -169,3 +169,12 @@ def test_sales_without_an_index_year_stay(rows):
     index = rows([(2020, 1.0), (2024, 2.0)], "year int, level double")
     got = history.to_base_year(sales, index).collect()
     assert sorted((r.sale_year or 0, r.adjusted_price) for r in got if r.sale_year == 2020) == [(2020, 200)] and len(got) == 3
+
+
+def test_csv_by_name_and_with_line_breaks(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('found_at,extra,url,property_id\n2025,x,"https://x/a\nb",1\n')
+    got = files.read_csv_text(spark, str(tmp_path / "l.csv"), schemas.ACTIVE_LINKS, multi_line=True).first()
+    assert (got.url, got.property_id, got.found_at) == ("https://x/a\nb", "1", "2025")
+    (tmp_path / "m.csv").write_text("url,property_id\nu,1\n")
+    with pytest.raises(ValueError, match="found_at"):
+        files.read_csv_text(spark, str(tmp_path / "m.csv"), schemas.ACTIVE_LINKS)
