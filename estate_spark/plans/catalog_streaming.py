@@ -53,13 +53,8 @@ def _(spark, sf):
     return weekly.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))
 
 
-@query(
-    "s5_weekly_activity_stream",
-    f"SELECT * FROM ({_WEEKS}) WHERE week_start < '2024-01-18'",
-    "price_history",
-)
+@query("s5_weekly_activity_stream", _WEEKS, "price_history")
 def _(spark, sf):
-    # append mode emits a week once the watermark has passed its end; weeks still open are left out
-    weekly = jobs.weekly_activity(price_stream(spark, sf), delay="5 days")
-    out = jobs.run_available(weekly, scratch(spark, "weekly"), scratch(spark, "checkpoint"))
-    return out.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd")).filter("week_start < '2024-01-18'")
+    weekly = jobs.weekly_activity(price_stream(spark, sf))
+    out = jobs.run_complete(weekly, scratch(spark, "weekly"), scratch(spark, "checkpoint"))
+    return out.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))

@@ -52,51 +52,76 @@ def weekly_activity(
     )
 
 
-STATE_SCHEMA = "property_id bigint, last_price double"
+def empty_state(batch: DataFrame) -> DataFrame:
+    """State before the first batch, with the batch's own types."""
+    types = dict(batch.dtypes)
+    return batch.sparkSession.createDataFrame(
+        [],
+        f"property_id {types['property_id']}, last_time {types['recorded_at']}, last_event {types['event_id']}, last_price {types['price']}",
+    )
+
+
+def news(batch: DataFrame, state: DataFrame) -> DataFrame:
+    """Priced rows of a batch that come after what is known of their listing, with that.
+
+    Rows without a price or time tell nothing; rows at or before the listing's
+    latest known one are late: they neither alert nor change what is latest.
+    """
+    priced = batch.filter("property_id IS NOT NULL AND price IS NOT NULL AND recorded_at IS NOT NULL")
+    later = F.col("last_time").isNull() | (F.struct("recorded_at", "event_id") > F.struct("last_time", "last_event"))
+    return priced.join(state, "property_id", "left").filter(later)
 
 
 def alerts_for_batch(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """New-listing and price-drop alerts of one batch, given the last price per listing before it."""
-    seen = previous_value(batch, "property_id", "recorded_at", "price", "event_id", day_bucket, "within")
-    joined = seen.join(state, "property_id", "left").withColumn("old_price", F.coalesce("within", "last_price"))
+    """New-listing and price-drop alerts of one batch, given the latest price per listing before it."""
+    seen = previous_value(news(batch, state), "property_id", "recorded_at", "price", "event_id", day_bucket, "within")
     alert = F.when(F.col("old_price").isNull(), F.lit("new_listing")).when(
         F.col("price") < F.col("old_price"), F.lit("price_drop")
     )
     return (
-        joined.withColumn("alert", alert)
+        seen.withColumn("old_price", F.coalesce("within", "last_price"))
+        .withColumn("alert", alert)
         .filter(F.col("alert").isNotNull())
         .select("property_id", "event_id", "alert", "old_price", F.col("price").alias("new_price"))
     )
 
 
 def advance_state(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Last price per listing after the batch; map-side combine keeps a hot listing to one row per task."""
-    fresh = batch.groupBy("property_id").agg(
-        F.max_by("price", F.struct("recorded_at", "event_id")).alias("fresh")
-    )
+    """Latest price per listing after the batch; map-side combine keeps a hot listing to one row per task."""
+    latest = F.max_by(F.struct("recorded_at", "event_id", "price"), F.struct("recorded_at", "event_id"))
+    fresh = news(batch, state).groupBy("property_id").agg(latest.alias("fresh"))
     return state.join(fresh, "property_id", "full_outer").select(
-        "property_id", F.coalesce("fresh", "last_price").alias("last_price")
+        "property_id",
+        F.coalesce("fresh.recorded_at", "last_time").alias("last_time"),
+        F.coalesce("fresh.event_id", "last_event").alias("last_event"),
+        F.coalesce("fresh.price", "last_price").alias("last_price"),
     )
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def price_alerts(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Alerts over a price stream, with the last price per listing as a versioned table.
+    """Alerts over a price stream, with the latest price per listing as a versioned table.
 
     Each micro-batch reads the state of the batch before and writes its own
-    alerts and state under its number, so a repeated batch replaces itself. A
-    hot listing is worked on in day-sized pieces instead of in one state call.
+    alerts and state under its number, so a repeated batch replaces itself;
+    states before that are removed. A hot listing is worked on in day-sized
+    pieces instead of in one state call.
     """
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        if number == 0:
-            state = session.createDataFrame([], STATE_SCHEMA)
-        else:
-            state = session.read.schema(STATE_SCHEMA).parquet(f"{out}/state/batch={number - 1}")
         needed = batch.select("property_id", "event_id", "price", "recorded_at")
+        state = empty_state(needed)
+        if number > 0:
+            state = session.read.schema(state.schema).parquet(f"{out}/state/batch={number - 1}")
         alerts_for_batch(needed, state).write.mode("overwrite").parquet(f"{out}/alerts/batch={number}")
         advance_state(needed, state).write.mode("overwrite").parquet(f"{out}/state/batch={number}")
+        _remove(session, f"{out}/state/batch={number - 2}")
 
     query = (
         stream.writeStream.foreachBatch(handle)
@@ -108,6 +133,29 @@ def price_alerts(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return spark.read.parquet(f"{out}/alerts").drop("batch")
 
 
+def run_complete(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Work through everything available; the whole result after the last batch, groups still open among it.
+
+    Each batch writes its result under its number, so a repeated one replaces itself.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+        _remove(batch.sparkSession, f"{out}/batch={number - 2:09d}")
+
+    query = (
+        stream.writeStream.foreachBatch(handle)
+        .outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    written = stream.sparkSession.read.parquet(out)
+    last = written.agg(F.max("batch").alias("last")).first()["last"]
+    return written.filter(F.col("batch") == last).drop("batch")
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Work through everything available, then return the written table."""
     query = (

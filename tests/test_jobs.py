@@ -106,7 +106,7 @@ def test_alerts_over_batches_equal_the_batch_twin(spark, batches, tmp_path):
     assert drops == want
     listings = h.select("property_id").distinct().count()
     assert got.filter("alert = 'new_listing'").count() == listings
-    assert spark.read.parquet(str(tmp_path / "out" / "state")).groupBy("batch").count().count() == 4
+    assert spark.read.parquet(str(tmp_path / "out" / "state")).groupBy("batch").count().count() == 2
 
 
 def test_stream_dedup_keeps_one_row_per_key(spark, batches, tmp_path):
@@ -178,3 +178,30 @@ def test_csv_by_name_and_with_line_breaks(spark, tmp_path):
     (tmp_path / "m.csv").write_text("url,property_id\nu,1\n")
     with pytest.raises(ValueError, match="found_at"):
         files.read_csv_text(spark, str(tmp_path / "m.csv"), schemas.ACTIVE_LINKS)
+
+
+def test_late_unpriced_and_text_id_rows(spark, tmp_path):
+    from datetime import datetime as at
+
+    schema = "property_id string, event_id long, price double, recorded_at timestamp_ntz"
+    days = [
+        [("a", 1, 100.0, at(2024, 1, 10)), ("b", 2, None, at(2024, 1, 10))],
+        [("a", 3, 50.0, at(2024, 1, 5)), ("b", 4, 80.0, at(2024, 1, 11)), ("a", 5, None, at(2024, 1, 12))],
+        [("a", 6, 90.0, at(2024, 1, 13)), ("b", 7, 80.0, at(2024, 1, 12)), ("b", 8, 70.0, at(2024, 1, 13))],
+    ]
+    for n, rows in enumerate(days):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"d={n}"))
+    import os
+    import shutil
+
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for n in range(3):
+        part = next((tmp_path / "in" / f"d={n}").glob("*.parquet"))
+        shutil.copy(part, flat / f"{n}.parquet")
+        os.utime(flat / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = jobs.read_stream(spark, str(flat), spark.read.parquet(str(flat)).schema, max_files=1)
+    got = jobs.price_alerts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    assert {(r.event_id, r.alert, r.old_price) for r in got} == {
+        (1, "new_listing", None), (4, "new_listing", None), (6, "price_drop", 100.0), (8, "price_drop", 80.0),
+    }
