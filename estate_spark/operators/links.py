@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from estate_spark.functions.text import inner_text, listing_id, listing_id_strict
 
-HREF = r'href="([^"]+)"'
+# The href of an ``a`` tag, quoted either way or bare; bounded by the tag, so read once.
+HREF = r"""(?is)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]+"|'[^']+'|[^\s"'<>]+)"""
 
 # Path pieces of listing links and of pages that only look like them.
 ACTIVE_PATH = "/bostad/"
@@ -27,21 +28,29 @@ RESULT_LIMIT = 2500
 
 
 def page_hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    """Hrefs of all ``a`` tags in page order, without quotes and with ``&amp;`` undone."""
+    raw = F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.transform(raw, lambda h: F.replace(F.regexp_replace(h, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&")))
 
 
 def _absolute(href: Column, page_url: Column) -> Column:
-    """Site-relative links get scheme and host of the page they stand on."""
+    """Site-relative links get scheme and host of the page they stand on, host-relative ones its scheme."""
+    scheme = F.regexp_extract(page_url, r"^([a-zA-Z]+:)//", 1)
     site = F.regexp_extract(page_url, r"^([a-zA-Z]+://[^/?#]+)", 1)
-    return F.when(F.startswith(href, F.lit("/")), F.concat(site, href)).otherwise(href)
+    return (
+        F.when(F.startswith(href, F.lit("//")), F.concat(scheme, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(site, href))
+        .otherwise(href)
+    )
 
 
 def _links(pages: DataFrame, keep) -> DataFrame:
-    """First occurrence of each wanted href per page, settled inside the row: no shuffle."""
-    wanted = F.array_distinct(F.filter(page_hrefs(F.col("html")), keep))
+    """First occurrence of each wanted link per page, told by its absolute URL, settled inside the row: no shuffle."""
+    kept = F.filter(page_hrefs(F.col("html")), keep)
+    wanted = F.array_distinct(F.transform(kept, lambda href: _absolute(href, F.col("url"))))
     return pages.select(
-        "page_id", F.col("url").alias("page_url"), F.posexplode(wanted).alias("pos", "href")
-    ).withColumn("url", _absolute(F.col("href"), F.col("page_url")))
+        "page_id", F.col("url").alias("page_url"), F.posexplode(wanted).alias("pos", "_link")
+    ).withColumnRenamed("_link", "url")
 
 
 def active_links(pages: DataFrame, path: str = ACTIVE_PATH, excluded: Sequence[str] = ACTIVE_EXCLUDED) -> DataFrame:
@@ -66,7 +75,7 @@ def pagination(pages: DataFrame, count_pattern: str = RESULT_COUNT) -> DataFrame
     current = F.regexp_extract("url", PAGE_NUMBER, 1).try_cast("int")
     numbers = F.transform(
         page_hrefs(F.col("html")),
-        lambda href: F.regexp_extract(F.replace(href, F.lit("&amp;"), F.lit("&")), PAGE_NUMBER, 1).try_cast("int"),
+        lambda href: F.regexp_extract(href, PAGE_NUMBER, 1).try_cast("int"),
     )
     stated = F.regexp_extract(inner_text(F.col("html")), count_pattern, 1)
     return pages.select(
@@ -78,7 +87,7 @@ def pagination(pages: DataFrame, count_pattern: str = RESULT_COUNT) -> DataFrame
 
 
 def stated_total(text: Column, pattern: str = SHOWN_OF_TOTAL) -> Column:
-    """Total from a 'shown X of N' sentence; 0 when it cannot be read."""
+    """Total from a 'shown X of N' sentence of a page's text (``inner_text``); 0 when it cannot be read."""
     digits = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"[\s ]", "")
     return F.coalesce(digits.try_cast("long"), F.lit(0))
 

@@ -191,7 +191,7 @@ def test_address_match_prefers_id_and_ignores_blank(rows):
 def test_pagination_reads_entities_and_spaces(rows):
     html = "<script>3 objekt</script><p>Visar 50 av 1 234</p><p>1 234 objekt</p><a href=\"?page=4&amp;x=1\"></a><a href='?page=9'></a>"
     r = links.pagination(rows([(1, "https://s/x?page=3", html)], "page_id long, url string, html string")).first()
-    assert (r.current_page, r.total_pages, r.total_results) == (3, 4, 1234)
+    assert (r.current_page, r.total_pages, r.total_results) == (3, 9, 1234)
     total = rows([("Visar 50 av 1 234",), ("nothing",)], "t string").select(links.stated_total(F.col("t"))).collect()
     assert [t[0] for t in total] == [1234, 0]
 
@@ -216,3 +216,10 @@ def test_long_runs_of_digits_are_read_once(spark):
     began = time.time()
     text = pages.select(F.regexp_extract("html", links.RESULT_COUNT, 1).alias("n")).collect()
     assert [r.n for r in text] == ["", "1 234"] and time.time() - began < 20
+
+
+def test_links_of_any_quoting_told_by_absolute_url(rows):
+    html = """<link href="/bostad/x-1"><a class=c href='/bostad/y-2?a=1&amp;b=2'>t</a><a href=/bostad/z-3>t</a>
+        <A HREF="https://s.se/bostad/z-3">again</A><a href="//h.se/bostad/w-4"></a>"""
+    got = links.active_links(rows([(1, "https://s.se/list", html)], "page_id long, url string, html string")).orderBy("pos")
+    assert [r.url for r in got.collect()] == ["https://s.se/bostad/y-2?a=1&b=2", "https://s.se/bostad/z-3", "https://h.se/bostad/w-4"]
