@@ -120,9 +120,20 @@ def code_lengths(trees: ContextTrees, data: np.ndarray, starts: np.ndarray, orde
     return total[heads + np.diff(starts)] - total[heads]
 
 
+def thinned(labelled: DataFrame, label: str, order: Column, rows: int) -> DataFrame:
+    """About eight times ``rows`` rows of each label, or all it has, by a hash: what goes on does not grow with the table."""
+    counts = labelled.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") > 8 * rows).collect()
+    keep = F.lit(True)
+    for found in counts:
+        share = int((1 << 30) * 8 * rows / found["n"]) + 1
+        keep = F.when(F.col(label) == found[label], F.pmod(order, F.lit(1 << 30)) < share).otherwise(keep)
+    return labelled.where(keep)
+
+
 def sample_texts(labelled: DataFrame, text: str, lang: str, order: Column, rows: int, longest: int) -> dict[str, list[bytes]]:
     """At most ``rows`` whole texts of each language, none longer than ``longest`` bytes, first by ``order``."""
-    fit = labelled.where(F.col(lang).isNotNull() & F.octet_length(text).between(1, longest))
+    labelled = thinned(labelled.where(F.col(lang).isNotNull()), lang, order, rows)
+    fit = labelled.where(F.octet_length(text).between(1, longest))
     ranked = fit.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.row_number().over(Window.partitionBy(lang).orderBy(order, text)).alias("r"))
     out: dict[str, list[bytes]] = {}
     for row in ranked.where(F.col("r") <= rows).select("l", "t").collect():

@@ -103,3 +103,9 @@ def test_toxicity_held_out(spark):
     counts = {(r.toxic, r.predicted): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
     assert counts.get((1, 1), 0) / (counts.get((1, 1), 0) + counts.get((1, 0), 0)) > 0.7
     assert counts.get((0, 1), 0) / (counts.get((0, 1), 0) + counts.get((0, 0), 0)) < 0.03
+
+
+def test_thinning_keeps_enough_of_each_label(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 100 = 0 THEN 'rare' ELSE 'often' END AS lang")
+    kept = {r.lang: r["count"] for r in language_id.thinned(df, "lang", F.xxhash64("doc_id"), 50).groupBy("lang").count().collect()}
+    assert kept["rare"] == 200 and 300 < kept["often"] < 520
