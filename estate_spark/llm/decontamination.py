@@ -22,8 +22,8 @@ from estate_spark.llm.batches import SLICE_BYTES, packed, slices
 
 Q = 8  # characters (UTF-8 bytes) of a gram: one 64-bit number
 WINDOW = 120  # bytes of an item that must be found; shorter items as a whole
-STEP = 60  # between an item's windows: any copied run of WINDOW + STEP bytes holds a whole window
 EDIT_RATE = 0.08
+ALIGNED_AT_ONCE = 256  # windows in one alignment: bounds its memory to some MB
 BAND = 16  # a band covers BAND diagonals and as many more as edits allow
 LEAST_BYTES = 40  # shorter items are no evidence and never reported
 BLOCK_BYTES = 2 << 20  # of items in one pass over the documents: the bound on what is broadcast
@@ -105,29 +105,57 @@ class ItemIndex:
         least = min(bound(min(int(n), WINDOW)) for n in lengths[lengths >= LEAST_BYTES])
         return ItemIndex(keys, stream, begins, joined[order], np.concatenate(item)[order], np.concatenate(place)[order], present, least)
 
+    def window(self, item: int) -> int:
+        """Bytes of the item's windows."""
+        return min(int(self.starts[item + 1] - self.starts[item]), WINDOW)
+
     def windows(self, item: int) -> list[tuple[int, int]]:
-        size = int(self.starts[item + 1] - self.starts[item])
-        if size <= WINDOW:
-            return [(0, size)]
-        return [(at, at + WINDOW) for at in range(0, size - WINDOW, STEP)] + [(size - WINDOW, size)]
+        """All windows of the item: one for each place at which one can begin."""
+        size, length = int(self.starts[item + 1] - self.starts[item]), self.window(item)
+        return [(at, at + length) for at in range(size - length + 1)]
 
 
-def aligned(window: np.ndarray, region: np.ndarray, most: int) -> int | None:
-    """Fewest edits that turn ``window`` into some part of ``region``, if no more than ``most``.
+def aligned(windows: np.ndarray, regions: np.ndarray, most: int) -> np.ndarray:
+    """Fewest edits that turn each row of ``windows`` into some part of its row of ``regions``; over ``most`` if there are more.
 
-    One row for each byte of the window over the band of places that stay
-    within the edits: the region is no longer than the window and its band.
+    One step for each byte of the windows over the band of places that stay
+    within the edits: a region is no longer than the window and its band.
     """
-    steps = np.arange(len(region) + 1)
-    row = np.zeros(len(region) + 1, np.int64)
-    for number, byte in enumerate(window, 1):
+    out = np.full(len(windows), most + 1, np.int64)
+    live = np.arange(len(windows))
+    steps = np.arange(regions.shape[1] + 1, dtype=np.int16)
+    row = np.zeros((len(windows), regions.shape[1] + 1), np.int16)
+    for number in range(windows.shape[1]):
         following = np.empty_like(row)
-        following[0] = number
-        following[1:] = np.minimum(row[:-1] + (region != byte), row[1:] + 1)
-        row = np.minimum.accumulate(following - steps) + steps
-        if row.min() > most:
-            return None
-    return int(row.min())
+        following[:, 0] = number + 1
+        np.minimum(row[:, :-1] + (regions != windows[:, number, None]), row[:, 1:] + 1, out=following[:, 1:])
+        row = np.minimum.accumulate(following - steps, axis=1) + steps
+        if number % 8 == 7:
+            near = row.min(1) <= most
+            if not near.all():
+                live, row, regions, windows = live[near], row[near], regions[near], windows[near]
+                if not len(live):
+                    return out
+    out[live] = np.minimum(row.min(1), most + 1)
+    return out
+
+
+def judged(index: ItemIndex, stream: np.ndarray, which: np.ndarray, begin: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Edits of windows of one length against their regions of ``stream`` from ``start`` on."""
+    most = edits_of(length)
+    edits = np.empty(len(which), np.int64)
+    for at in range(0, len(which), ALIGNED_AT_ONCE):
+        part = slice(at, at + ALIGNED_AT_ONCE)
+        windows = index.stream[(index.starts[which[part]] + begin[part])[:, None] + np.arange(length)]
+        places = start[part, None] + np.arange(BAND + length + 3 * most)
+        inside = (places >= 0) & (places < len(stream))
+        near = np.where(inside, stream[np.clip(places, 0, len(stream) - 1)], 0)  # no byte of a window is 0
+        exact = np.array([r.tobytes().find(w.tobytes()) >= 0 for w, r in zip(windows, near)], bool)
+        found = np.zeros(len(windows), np.int64)
+        if not exact.all():
+            found[~exact] = aligned(windows[~exact], near[~exact], most)
+        edits[part] = found
+    return edits
 
 
 def regions(index: ItemIndex, stream: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -146,7 +174,10 @@ def regions(index: ItemIndex, stream: np.ndarray) -> Iterator[tuple[int, int, in
     entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
     text_at = np.repeat(at, many)
     item, place = index.item[entry], index.place[entry]
-    diagonal = text_at - place + (1 << 20)  # items are shorter than that
+    if not len(item):
+        return
+    longest = -(-(int(np.diff(index.starts).max()) + BAND) // BAND) * BAND
+    diagonal = text_at - place + longest  # from BAND on
     band = diagonal // BAND
     slack = edits_of(WINDOW)
     # a diagonal lies in its own band, and in those before whose edits reach it
@@ -156,34 +187,36 @@ def regions(index: ItemIndex, stream: np.ndarray) -> Iterator[tuple[int, int, in
         owners.append(band[also] - back)
         rows.append(also)
     row, owner = np.concatenate(rows), np.concatenate(owners)
-    key = item[row] << 42 | owner
+    bands = int(owner.max()) + 1
+    key = item[row] * bands + owner
     order = np.argsort(key, kind="stable")
     key, row = key[order], row[order]
-    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[heads, len(key)])
+    wanted: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for head, size in zip(heads[sizes >= index.least].tolist(), sizes[sizes >= index.least].tolist()):
-        which = int(key[head] >> 42)
-        first = int(key[head] & (1 << 42) - 1) * BAND - (1 << 20)
+        which, number = divmod(int(key[head]), bands)
         places = np.unique(place[row[head : head + size]])
-        base = index.starts[which]
-        for begin, end in index.windows(which):
-            shared = np.searchsorted(places, end - Q, "right") - np.searchsorted(places, begin, "left")
-            if shared < bound(end - begin):
-                continue
-            window, most = index.stream[base + begin : base + end], edits_of(end - begin)
-            start = max(first + begin - most, 0)
-            region = stream[start : max(first + BAND + most + end + most, 0)]
-            exact = region.tobytes().find(window.tobytes())
-            edits = 0 if exact >= 0 else aligned(window, region, most)
-            if edits is not None:
-                yield which, begin, start, edits
+        length = index.window(which)
+        begin = np.arange(int(index.starts[which + 1] - index.starts[which]) - length + 1)
+        shared = np.searchsorted(places, begin + length - Q, "right") - np.searchsorted(places, begin, "left")
+        begin = begin[shared >= bound(length)]
+        if len(begin):
+            start = number * BAND - longest + begin - edits_of(length)
+            wanted.setdefault(length, []).append((np.full(len(begin), which), begin, start))
+    for length, candidates in wanted.items():
+        which, begin, start = (np.concatenate(column) for column in zip(*candidates))
+        edits = judged(index, stream, which, begin, start, length)
+        good = edits <= edits_of(length)
+        yield from zip(which[good].tolist(), begin[good].tolist(), start[good].tolist(), edits[good].tolist())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document row and item found in it: ``key``, ``item_key``, n_windows, edits (of the best window).
 
-    An item is found when one of its windows of WINDOW bytes (the whole item, if
-    shorter) occurs with at most EDIT_RATE edits. Null and empty texts and items
+    An item is found when any WINDOW bytes of it, wherever they begin (the whole
+    item, if shorter), occur with at most EDIT_RATE edits;
+    n_windows counts the beginnings. Null and empty texts and items
     and items under LEAST_BYTES match nothing; repeated document rows are
     reported each; null keys are carried; equal items are reported each; other
     columns are not read. Items are taken in blocks of bounded size, each a pass
@@ -233,5 +266,5 @@ def scan(index: ItemIndex, data: np.ndarray, starts: np.ndarray) -> Iterator[tup
         part = stream[low : low + SLICE_BYTES + overlap]
         for which, begin, at, edits in regions(index, part):
             # the window's region begins at ``at``; it belongs to the text that holds its middle
-            middle = low + at + min(WINDOW, int(index.starts[which + 1] - index.starts[which])) // 2
+            middle = low + at + index.window(which) // 2
             yield int(np.searchsorted(begins, middle, "right")) - 1, which, begin, edits
