@@ -140,15 +140,15 @@ def aligned(windows: np.ndarray, regions: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def judged(index: ItemIndex, stream: np.ndarray, which: np.ndarray, begin: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Edits of windows of one length against their regions of ``stream`` from ``start`` on."""
+def judged(index: ItemIndex, stream: np.ndarray, which: np.ndarray, begin: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """Edits of windows of one length against their regions of ``stream`` from ``start`` on, within ``low`` to ``high``."""
     most = edits_of(length)
     edits = np.empty(len(which), np.int64)
     for at in range(0, len(which), ALIGNED_AT_ONCE):
         part = slice(at, at + ALIGNED_AT_ONCE)
         windows = index.stream[(index.starts[which[part]] + begin[part])[:, None] + np.arange(length)]
         places = start[part, None] + np.arange(BAND + length + 3 * most)
-        inside = (places >= 0) & (places < len(stream))
+        inside = (places >= low[part, None]) & (places < high[part, None])
         near = np.where(inside, stream[np.clip(places, 0, len(stream) - 1)], 0)  # no byte of a window is 0
         exact = np.array([r.tobytes().find(w.tobytes()) >= 0 for w, r in zip(windows, near)], bool)
         found = np.zeros(len(windows), np.int64)
@@ -158,8 +158,8 @@ def judged(index: ItemIndex, stream: np.ndarray, which: np.ndarray, begin: np.nd
     return edits
 
 
-def regions(index: ItemIndex, stream: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Item, item position, text position and edits of each window found in ``stream``."""
+def regions(index: ItemIndex, stream: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Text, item, item position and edits of each window found in ``stream``, whose texts start at ``begins``."""
     found = grams(stream)
     hit = index.present[slots(found)]
     # only stretches with enough hits for some window go on; a stretch is a window and its band
@@ -176,6 +176,8 @@ def regions(index: ItemIndex, stream: np.ndarray) -> Iterator[tuple[int, int, in
     item, place = index.item[entry], index.place[entry]
     if not len(item):
         return
+    # texts are parted by two marks and no item has two together: a gram lies within one text
+    text = np.searchsorted(begins, text_at, "right") - 1
     longest = -(-(int(np.diff(index.starts).max()) + BAND) // BAND) * BAND
     diagonal = text_at - place + longest  # from BAND on
     band = diagonal // BAND
@@ -187,15 +189,16 @@ def regions(index: ItemIndex, stream: np.ndarray) -> Iterator[tuple[int, int, in
         owners.append(band[also] - back)
         rows.append(also)
     row, owner = np.concatenate(rows), np.concatenate(owners)
-    bands = int(owner.max()) + 1
-    key = item[row] * bands + owner
+    bands, texts = int(owner.max()) + 1, len(begins)
+    key = (item[row] * texts + text[row]) * bands + owner
     order = np.argsort(key, kind="stable")
     key, row = key[order], row[order]
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[heads, len(key)])
     wanted: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for head, size in zip(heads[sizes >= index.least].tolist(), sizes[sizes >= index.least].tolist()):
-        which, number = divmod(int(key[head]), bands)
+        pair, number = divmod(int(key[head]), bands)
+        which, inside = divmod(pair, texts)
         places = np.unique(place[row[head : head + size]])
         length = index.window(which)
         begin = np.arange(int(index.starts[which + 1] - index.starts[which]) - length + 1)
@@ -203,19 +206,19 @@ def regions(index: ItemIndex, stream: np.ndarray) -> Iterator[tuple[int, int, in
         begin = begin[shared >= bound(length)]
         if len(begin):
             start = number * BAND - longest + begin - edits_of(length)
-            wanted.setdefault(length, []).append((np.full(len(begin), which), begin, start))
+            wanted.setdefault(length, []).append((np.full(len(begin), which), np.full(len(begin), inside), begin, start))
     for length, candidates in wanted.items():
-        which, begin, start = (np.concatenate(column) for column in zip(*candidates))
-        edits = judged(index, stream, which, begin, start, length)
+        which, inside, begin, start = (np.concatenate(column) for column in zip(*candidates))
+        edits = judged(index, stream, which, begin, start, begins[inside], np.r_[begins[1:], len(stream)][inside], length)
         good = edits <= edits_of(length)
-        yield from zip(which[good].tolist(), begin[good].tolist(), start[good].tolist(), edits[good].tolist())
+        yield from zip(inside[good].tolist(), which[good].tolist(), begin[good].tolist(), edits[good].tolist())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document row and item found in it: ``key``, ``item_key``, n_windows, edits (of the best window).
 
     An item is found when any WINDOW bytes of it, wherever they begin (the whole
-    item, if shorter), occur with at most EDIT_RATE edits;
+    item, if shorter), occur within one text with at most EDIT_RATE edits;
     n_windows counts the beginnings. Null and empty texts and items
     and items under LEAST_BYTES match nothing; repeated document rows are
     reported each; null keys are carried; equal items are reported each; other
@@ -264,7 +267,6 @@ def scan(index: ItemIndex, data: np.ndarray, starts: np.ndarray) -> Iterator[tup
     overlap = 4 * (WINDOW + BAND)
     for low in range(0, len(stream), SLICE_BYTES):
         part = stream[low : low + SLICE_BYTES + overlap]
-        for which, begin, at, edits in regions(index, part):
-            # the window's region begins at ``at``; it belongs to the text that holds its middle
-            middle = low + at + index.window(which) // 2
-            yield int(np.searchsorted(begins, middle, "right")) - 1, which, begin, edits
+        first, last = int(np.searchsorted(begins, low, "right")) - 1, int(np.searchsorted(begins[:-1], low + len(part), "left"))
+        for text, which, begin, edits in regions(index, part, np.maximum(begins[first:last] - low, 0)):
+            yield first + text, which, begin, edits

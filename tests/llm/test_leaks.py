@@ -1,4 +1,4 @@
-"""Decontamination: every place of an item is tried."""
+"""Decontamination: every place of an item is tried, and a find belongs to the text that holds it."""
 
 import random
 import re
@@ -49,3 +49,20 @@ def test_excerpts_from_any_place(spark):
     df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_windows, r.edits) for r in decontamination.find_leaks(df, benchmark).collect()}
     assert got == want and {doc % 8 for doc, _ in want} >= {0, 1, 2, 3, 4}
+
+
+def test_finds_belong_to_the_text_that_holds_them(spark):
+    """Documents of one slice that begin with a short item, and one whose halves stand in neighbouring documents."""
+    rnd = random.Random(3)
+    item = "which of these rivers flows north again"
+    halves = words(rnd, 30)
+    items = spark.createDataFrame([(1, item), (2, halves)], "item_id long, text string")
+    assert len(plain(item)) == 41
+    docs = []
+    for i in range(64):
+        docs += [(2 * i, words(rnd, 12) + " " + "k" * (i % 23)), (2 * i + 1, item + " " + words(rnd, 9))]
+    middle = halves.index(" ", len(halves) // 2 - 4)
+    docs += [(900, words(rnd, 5) + " " + halves[middle - 62 : middle]), (901, halves[middle + 1 : middle + 62] + " " + words(rnd, 5))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.find_leaks(df, items).collect())
+    assert got == [(2 * i + 1, 1) for i in range(64)]
