@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_spark.llm import byte_bpe, decontamination, jaccard, language_id, toxicity
@@ -14,43 +14,53 @@ from estate_spark.llm.queries import fold, toxicity_labels
 from estate_spark.session import shared_dir
 
 MOST_BITS_PER_BYTE = 6.5  # a text that costs more under its best language is in none of them
+ROW = "pipeline_row"  # a row's own key within a stage: ids may be null or shared
 
 
-def ids_where(judged: DataFrame, condition: Column) -> DataFrame:
-    """Distinct non-null ids of judged rows."""
-    return judged.where(condition & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("judged_id")).distinct()
+def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents with a key of each row, written to shared storage: every reader sees the same keys."""
+    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/rows"
+    return jaccard.written(docs.withColumn(ROW, F.monotonically_increasing_id()), path)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents but those with these ids; documents without an id stay."""
-    return docs.join(ids, F.col("doc_id") == F.col("judged_id"), "left_anti")
+def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Documents but the rows whose keys are rejected, whatever ids they have or share."""
+    keys = rejected.select(F.col(ROW).alias("rejected_row")).distinct()
+    return rows.join(keys, F.col(ROW) == F.col("rejected_row"), "left_anti").drop(ROW)
+
+
+def by_id(labelled: DataFrame) -> DataFrame:
+    """Rows to learn from; their sample is spread by id, as in the operators' own queries."""
+    return labelled.withColumn(ROW, F.col("doc_id"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; null and empty texts have no evidence and stay."""
-    scored = toxicity.score_toxicity(docs, toxicity_labels(spark, docs, sf_dir), label="label")
-    return without(docs, ids_where(scored, F.col("predicted") == 1))
+    rows = keyed(spark, docs)
+    scored = toxicity.score_toxicity(rows, by_id(toxicity_labels(spark, docs, sf_dir)), key=ROW, label="label")
+    return without(rows, scored.where("predicted = 1"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some learned language; texts without a letter, or far from every language, go."""
-    found = language_id.identify(docs, docs.where(fold("doc_id", 4) != 2))
+    rows = keyed(spark, docs)
+    found = language_id.identify(rows, by_id(docs.where(fold("doc_id", 4) != 2)), key=ROW)
     rejected = (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("bits_per_byte") > MOST_BITS_PER_BYTE)
-    return without(docs, ids_where(found, rejected))
+    return without(rows, found.where(rejected))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, 0.8); repeated rows of it become one."""
-    found = jaccard.near_duplicates(docs, words=5, percent=80)
-    kept = without(docs, ids_where(found, F.col("doc_id") != F.col("component_id")))
-    named = kept.where("doc_id IS NOT NULL")
-    return named.dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """One row of each group of near copies (five words, 0.8): that of the smallest id, rows without an id last."""
+    rows = keyed(spark, docs)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    found = jaccard.near_duplicates(rows.select(order.alias("order"), "text"), words=5, percent=80, key="order")
+    return without(rows, found.where(F.col(f"order.{ROW}") != F.col(f"component_id.{ROW}")).select(f"order.{ROW}"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, ids_where(leaks, F.lit(True)))
+    rows = keyed(spark, docs)
+    return without(rows, decontamination.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
