@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_spark.llm import byte_bpe, decontamination, jaccard, language_id, nearest, token_counts, token_files, toxicity, url_filter, warc
-from estate_spark.session import shared_dir
+from estate_spark.llm import byte_bpe, decontamination, jaccard, language_id, nearest, periodic_runs, token_counts, token_files, toxicity, url_filter, warc
+from estate_spark.session import computed_once, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,36 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         end_id=0,
     )
     return token_files.read_token_files(manifest, digest_only=True)
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """Texts in which one id in ten repeats a stretch from some word on to the end; a null id counts as none of these."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    listed = computed_once(docs.select("doc_id", "text"), "words", F.when(h % 10 == 0, words))
+    n = F.size("words")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", a + 1, p), times))
+    repeated = F.slice(F.concat(F.slice("words", 1, a), tail), 1, n)
+    return listed.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length, (-r.start).alias("before"), (-r.period).alias("fast"))))
+    lines = F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n")))
+    judged = found.withColumn("best", best)
+    return judged.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.fast")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.fast")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
