@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_spark.llm import byte_bpe, decontamination, jaccard, language_id, nearest, periodic_runs, token_counts, token_files, toxicity, url_filter, warc
+from estate_spark.llm import byte_bpe, collocations, decontamination, jaccard, language_id, license_scan, nearest, periodic_runs, token_counts, token_files, toxicity, url_filter, warc
 from estate_spark.session import computed_once, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,70 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, digest_only=True)
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents")).withColumn("base", F.filter("detections", lambda d: d.kind == 0))
+    named = lambda column: F.array_join(F.array_sort(F.array_distinct(F.transform(column, lambda d: d.label))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"),
+        named("base").alias("base_labels"),
+        named("detections").alias("labels"),
+        "score",
+    )
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def collocations_sql() -> str:
+    """All phrases counted outright, then the same cuts, fragments and ranks."""
+    numbered = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(words[i:i + {k - 1}], ' ') AS phrase, {k} AS size FROM (SELECT lang, words, unnest(range(1, len(words) - {k - 2})) AS i FROM pieces)"
+        for k in range(1, collocations.LONGEST + 1)
+    )
+    return f"""
+        WITH cut AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents WHERE text IS NOT NULL
+        ), pieces AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS words FROM cut
+        ), counts AS MATERIALIZED (
+            SELECT lang, phrase, size, count(*) AS f FROM ({numbered}) GROUP BY ALL
+        ), totals AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang
+        ), candidates AS MATERIALIZED (
+            SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE size > 1 AND f >= {collocations.LEAST}
+        ), within AS (
+            SELECT lang, a AS holder, unnest(flatten([[array_to_string(words[i:i + s - 1], ' ') FOR i IN range(1, size - s + 2)] FOR s IN range(2, size)])) AS phrase
+            FROM candidates WHERE size > 2
+        ), kept AS (
+            SELECT * FROM candidates c WHERE NOT EXISTS (
+                SELECT 1 FROM within w WHERE w.lang = c.lang AND w.phrase = c.phrase AND 100 * CAST(w.holder AS HUGEINT) >= {collocations.COVER} * CAST(c.a AS HUGEINT))
+        ), sides AS (
+            SELECT *, unnest(range(1, size)) AS k FROM kept
+        ), scored AS (
+            SELECT s.lang, s.phrase, s.a, s.k, x.f AS l, y.f AS r, CAST({collocations.SCALE}::HUGEINT * s.a // (x.f + y.f) AS BIGINT) AS score
+            FROM sides s
+            JOIN counts x ON x.lang = s.lang AND x.phrase = array_to_string(s.words[1:s.k], ' ')
+            JOIN counts y ON y.lang = s.lang AND y.phrase = array_to_string(s.words[s.k + 1:], ' ')
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+    """
+
+
+ORACLES["op12_collocations"] = collocations_sql()
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """Texts in which one id in ten repeats a stretch from some word on to the end; a null id counts as none of these."""
     h = F.crc32(F.col("doc_id").cast("string"))
