@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,13 +30,16 @@ LEAST = 30  # occurrences of a candidate
 COVER = 80  # percent of a phrase's occurrences within one longer candidate that make it a fragment
 SCALE = 2_000_000
 TOP = 2_000
-ENTRIES = 500_000  # phrases that a task holds before it spills
+SHARES = 16  # of a language, ranked apart before they are ranked together
+ENTRIES = 800_000  # phrases that a task holds before it spills
+WAITING = 1_000_000  # places gathered before they are counted
 VOCABULARY = 300_000  # words that a task knows before it spills all and starts anew
 WINDOW = 200_000  # words counted between two looks at the bounds
 RUN_ROWS = 20_000  # spilled rows handed on at once
 BITS_PER_ENTRY, MOST_BITS = 16, 1 << 27  # of a bit table: 16 MB at most
 UNKNOWN = "und"
 
+GOLDEN = 0x9E3779B97F4A7C15  # spreads hashes over the bits
 EDGE = b"\xff"  # between pieces; in no UTF-8 text
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", EDGE * 10)
 RUN_SCHEMA = "lang string, head string, tail string, n long"
@@ -47,16 +51,17 @@ class BitTable:
     def __init__(self, bits: np.ndarray):
         self.bits, self.shift = bits, np.uint64(64 - (len(bits) * 64).bit_length() + 1)
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        return places(hashes, self.shift)
-
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.places(hashes)
+        at = places(hashes, self.shift)
         return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+    def holds_one(self, value: int) -> bool:
+        at = (value * GOLDEN & (1 << 64) - 1) >> int(self.shift)
+        return bool(int(self.bits[at >> 6]) >> (at & 63) & 1)
+
 
 def places(hashes: np.ndarray, shift: np.uint64) -> np.ndarray:
-    return (hashes * np.uint64(0x9E3779B97F4A7C15)) >> shift
+    return (hashes * np.uint64(GOLDEN)) >> shift
 
 
 def word_hash(lang: str, word: bytes) -> int:
@@ -104,7 +109,7 @@ class Vocabulary(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = word_hash(self.lang, word)
-        if self.admits is not None and not self.admits.holds(np.array([value], np.uint64))[0]:
+        if self.admits is not None and not self.admits.holds_one(value):
             self[word] = 0
             return 0
         self.words.append(word)
@@ -119,6 +124,8 @@ class Level:
     def __init__(self, lengths: tuple[int, ...], words: BitTable | None, pairs: BitTable | None):
         self.lengths, self.words, self.pairs = lengths, words, pairs
         self.tries: dict[str, tuple[Vocabulary, HatTrie]] = {}
+        self.waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}  # phrases not yet in a trie
+        self.waits = 0
 
     def add(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         """Count the texts' phrases; yields what must be spilled meanwhile."""
@@ -126,14 +133,15 @@ class Level:
         for low in range(0, len(stream), WINDOW):  # a window counts the phrases that begin in it
             if lang not in self.tries:
                 self.tries[lang] = Vocabulary(lang, self.words), HatTrie()
-            self._count(*self.tries[lang], stream[low : low + WINDOW + max(self.lengths) - 1])
+            self._take(lang, stream[low : low + WINDOW + max(self.lengths) - 1])
             yield from self.relieved()
 
-    def _count(self, vocabulary: Vocabulary, trie: HatTrie, stream: list[bytes]) -> None:
+    def _take(self, lang: str, stream: list[bytes]) -> None:
+        vocabulary, trie = self.tries[lang]
         ids = np.fromiter(map(vocabulary.__getitem__, stream), np.int64, len(stream))
         known = ids > 0
         if self.lengths == (1,):
-            trie.add(ids[known], packed_rest(ids[known] * 0))
+            trie.add_words(ids[known])
             return
         together = known[:-1] & known[1:]
         if self.pairs is not None:
@@ -144,36 +152,54 @@ class Level:
             places = min(len(ids) - n + 1, WINDOW)
             if places > 0:
                 at = np.flatnonzero(np.logical_and.reduce([together[k : k + places] for k in range(n - 1)]))
-                trie.add(ids[at], packed_rest(*(ids[at + k] for k in range(1, n))))
+                self.waiting.setdefault(lang, []).append((ids[at], packed_rest(*(ids[at + k] for k in range(1, n)))))
+                self.waits += len(at)
 
-    def spilled(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Sorted runs of whole subtrees until at most ``keep`` phrases a language are left."""
-        for lang, (vocabulary, trie) in self.tries.items():
-            rows: list[tuple[bytes, bytes, int]] = []
-            for first, pairs in trie.spill(keep):
-                run = []
-                for key, count in pairs:
-                    words = [vocabulary.words[i] for i in (first, *unpacked_rest(key))]
-                    run.append((b" ".join(words[:2]), b" ".join(words[2:]), count))
-                rows.extend(sorted(run))
-                if len(rows) >= RUN_ROWS:
-                    yield run_batch(lang, rows)
-                    rows = []
-            if rows:
-                yield run_batch(lang, rows)
+    def settle(self) -> None:
+        """Count the waiting phrases."""
+        for lang, found in self.waiting.items():
+            self.tries[lang][1].add(np.concatenate([first for first, _ in found]), np.concatenate([rest for _, rest in found]))
+        self.waiting.clear()
+        self.waits = 0
 
     def relieved(self) -> Iterator[pa.RecordBatch]:
-        """The largest subtrees where the tries are full; all phrases where too many words are known, whose ids start anew."""
-        if sum(trie.entries for _, trie in self.tries.values()) > ENTRIES:
-            yield from self.spilled(ENTRIES // (4 * len(self.tries)))
+        """Subtrees where the tries are full; all phrases where too many words are known, whose ids start anew."""
+        if self.waits > WAITING:
+            self.settle()
+            if sum(trie.entries for _, trie in self.tries.values()) > ENTRIES:
+                yield from self.spilled(ENTRIES // (2 * len(self.tries)))
         if sum(len(vocabulary) for vocabulary, _ in self.tries.values()) > VOCABULARY:
-            yield from self.spilled(0)
+            yield from self.rest()
             self.tries.clear()
 
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """All phrases that are left."""
+        self.settle()
+        yield from self.spilled(0)
 
-def run_batch(lang: str, rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-    texts = [pa.array([row[i] for row in rows], pa.binary()).view(pa.string()) for i in (0, 1)]
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *texts, pa.array([row[2] for row in rows], pa.int64())], ["lang", "head", "tail", "n"])
+    def spilled(self, keep: int) -> Iterator[pa.RecordBatch]:
+        """Runs of whole subtrees, sorted by phrase, until at most ``keep`` phrases a language are left."""
+        for lang, (vocabulary, trie) in self.tries.items():
+            first, key, counts = trie.spill(keep)
+            if not len(first):
+                continue
+            words = pa.array(vocabulary.words, pa.binary())
+            rank = np.empty(len(words), np.int64)
+            rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+            columns = [first, *unpacked_rest(key)]
+            order = np.lexsort([rank[c] for c in reversed(columns)])
+            for low in range(0, len(order), RUN_ROWS):
+                rows = order[low : low + RUN_ROWS]
+                one, two, three, four = (words.take(pa.array(c[rows])) for c in columns)
+                head, tail = joined(one, two), joined(three, four)
+                language = pa.DictionaryArray.from_arrays(np.zeros(len(rows), np.int32), [lang]).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([language.cast(pa.string()), head.view(pa.string()), tail.view(pa.string()), pa.array(counts[rows])], ["lang", "head", "tail", "n"])
+
+
+def joined(one: pa.Array, two: pa.Array) -> pa.Array:
+    """Two words with a space between, or one where the second is empty."""
+    space = pc.if_else(pc.equal(pc.binary_length(two), 0), pa.scalar(b""), pa.scalar(b" "))
+    return pc.binary_join_element_wise(one, two, space)
 
 
 def counter(lengths: tuple[int, ...], words: Callable[[], BitTable | None], pairs: Callable[[], BitTable | None]):
@@ -190,7 +216,7 @@ def counter(lengths: tuple[int, ...], words: Callable[[], BitTable | None], pair
                     by_lang.setdefault(lang, []).append(body[begin:end])
                 for lang, texts in by_lang.items():
                     yield from level.add(lang, texts)
-        yield from level.spilled(0)
+        yield from level.rest()
 
     return count
 
@@ -256,6 +282,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     rest = known.select("lang", F.col("part").alias("two"), F.col("f").alias("r"))
     scored = sides.join(first, ["lang", "one"]).join(rest, ["lang", "two"]).withColumn("score", F.expr(f"cast(cast({SCALE} as decimal(10,0)) * a div (l + r) as bigint)"))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = lowest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("cut.score"), F.desc("a"), "phrase"]
+    share = Window.partitionBy("lang", "share").orderBy(*order)  # a language's best are among the best of its shares
+    best = lowest.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", F.col("total").alias("n"), "cut.score")

@@ -59,6 +59,12 @@ def corpus(seed, size=300):
     return docs + [(None, "en"), ("", None), ("  \n ", "de"), docs[0], docs[0]]
 
 
+def taken(spilled):
+    first, keys, counts = spilled
+    columns = zip(first.tolist(), *(c.tolist() for c in unpacked_rest(keys)), counts.tolist())
+    return Counter({tuple(w for w in row[:4] if w): row[4] for row in columns})
+
+
 @pytest.mark.parametrize("burst", [2, 2048])
 def test_trie_counts_bursts_and_spills(burst):
     rnd = np.random.default_rng(1)
@@ -67,13 +73,13 @@ def test_trie_counts_bursts_and_spills(burst):
         words = rnd.integers(1, 12, (500, 4))
         words[rnd.random(500) < 0.3, 3] = 0
         trie.add(words[:, 0], packed_rest(words[:, 1], words[:, 2], words[:, 3]))
+        trie.add_words(words[:, 1])
         want.update(tuple(w for w in row if w) for row in words.tolist())
-        for first, pairs in trie.spill(keep=2_000):
-            got.update({(first, *unpacked_rest(key)): n for key, n in pairs})
+        want.update((w,) for w in words[:, 1].tolist())
+        got.update(taken(trie.spill(keep=2_000)))
         assert trie.entries <= 2_000
         assert trie.entries == sum(trie.sizes.values())
-    for first, pairs in trie.spill(0):
-        got.update({(first, *unpacked_rest(key)): n for key, n in pairs})
+    got.update(taken(trie.spill(0)))
     assert got == want and trie.entries == 0
 
 
@@ -93,22 +99,20 @@ def test_against_plain_counts(rows, seed):
 
 def test_spills_windows_and_renewed_words_change_nothing(monkeypatch):
     docs = corpus(7, 120)
-    for name, value in (("ENTRIES", 50), ("VOCABULARY", 20), ("WINDOW", 17)):
+    for name, value in (("ENTRIES", 50), ("VOCABULARY", 20), ("WINDOW", 17), ("WAITING", 30)):
         monkeypatch.setattr(collocations, name, value)
     level, got = collocations.Level((2, 3, 4), None, None), Counter()
 
     def take(batches):
         for batch in batches:
-            heads = list(zip(batch["head"].to_pylist(), batch["tail"].to_pylist()))
-            got.update(Counter({(lang, *h): 0 for lang, h in zip(batch["lang"].to_pylist(), heads)}))
-            for lang, (head, tail), n in zip(batch["lang"].to_pylist(), heads, batch["n"].to_pylist()):
-                got[lang, tuple(f"{head} {tail}".split(" ")) if tail else tuple(head.split(" "))] += n
+            for lang, head, tail, n in zip(*(c.to_pylist() for c in batch.columns)):
+                got[lang, tuple(" ".join(filter(None, (head, tail))).split(" "))] += n
 
     for text, lang in docs:
         take(level.add("und" if lang is None else lang, [(text or "").encode()]))
-    take(level.spilled(0))
+    take(level.rest())
     want = Counter({k: n for k, n in phrases(docs)[1].items() if len(k[1]) > 1})
-    assert +got == want
+    assert got == want
 
 
 def test_nothing_frequent_and_nothing_at_all(rows):
