@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_spark.functions.ordering import number_rows, ordered_ranges
+from estate_spark.functions.ordering import number_rows, ordered_layout
 from estate_spark.functions.text import blank_to_null, fingerprint, listing_id
 
 
@@ -59,16 +59,20 @@ def slice_rows(
 ) -> DataFrame:
     """Skip ``offset`` rows in order, leave out processed ones, keep the next ``limit`` (0: all).
 
-    Positions come from ordered key ranges and per-range counts, so neither
-    offset nor limit gathers rows in one task.
+    Processed rows are marked before the rows are laid out in order, so that
+    one layout serves both countings: all rows for the offset, and what is
+    left of them for the limit. Rows without a fingerprint are never processed;
+    a key of their own keeps them from meeting in one task.
     """
-    laid_out = ordered_ranges(with_fingerprint(rows), order)
-    numbered = number_rows(laid_out, order, "row_index")
-    remaining = not_processed(numbered.filter(F.col("row_index") >= offset), processed)
+    marked = with_fingerprint(rows)
+    key = F.coalesce("fingerprint", F.hex(F.xxhash64(*marked.columns)))
+    done = processed.select(F.col("fingerprint").alias("_key")).distinct().withColumn("_done", F.lit(True))
+    marked = marked.withColumn("_key", key).join(done, "_key", "left").drop("_key")
+    numbered = number_rows(ordered_layout(marked, order))
+    remaining = numbered.filter((F.col("row_index") >= offset) & F.col("_done").isNull()).drop("_done")
     if limit <= 0:
-        return remaining.drop("range_id")
-    kept = number_rows(remaining, ["row_index"], "kept_index").filter(F.col("kept_index") < limit)
-    return kept.drop("range_id", "kept_index")
+        return remaining
+    return number_rows(remaining, "_kept").filter(F.col("_kept") < limit).drop("_kept")
 
 
 def slice_counts(rows: DataFrame, processed: DataFrame, written: DataFrame) -> DataFrame:
@@ -84,8 +88,8 @@ def slice_counts(rows: DataFrame, processed: DataFrame, written: DataFrame) -> D
 
 def with_batches(rows: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """Batch number by global position: the first ``size`` rows in order are batch 0."""
-    numbered = number_rows(ordered_ranges(rows, order), order, "row_index")
-    return numbered.withColumn("batch_id", F.floor(F.col("row_index") / size)).drop("range_id")
+    numbered = number_rows(ordered_layout(rows, order))
+    return numbered.withColumn("batch_id", F.floor(F.col("row_index") / size))
 
 
 def batches_between(batched: DataFrame, first: int, last: int | None = None) -> DataFrame:

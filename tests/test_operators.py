@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from estate_spark.functions.ordering import asof_match, number_rows, ordered_ranges, previous_value
+from estate_spark.functions.ordering import asof_match, number_rows, ordered_layout, previous_value
 from estate_spark.functions.quantiles import approximate_quantiles, exact_quantiles, group_summary
 from estate_spark.operators import clean, comps, history, incremental, links, market, ranges
 from estate_spark.session import materialise
@@ -100,9 +100,24 @@ def test_previous_value_equals_lag(rows):
 def test_row_numbers_with_equal_keys(rows):
     data = [(i % 3 == 0, "same" if i % 3 else f"k{i}", i) for i in range(500)]
     df = rows(data, "f boolean, k string, i int")
-    got = number_rows(ordered_ranges(df, ["k", "i"], 7), ["k", "i"]).collect()
+    laid_out = ordered_layout(df, ["k", "i"], 7)
+    got = number_rows(laid_out).collect()
     want = {x[2]: n for n, x in enumerate(sorted(data, key=lambda x: (x[1], x[2])))}
     assert {r.i: r.row_index for r in got} == want
+    kept = number_rows(laid_out.filter("i % 4 = 1")).collect()
+    want = {x[2]: n for n, x in enumerate(sorted((x for x in data if x[2] % 4 == 1), key=lambda x: (x[1], x[2])))}
+    assert {r.i: r.row_index for r in kept} == want
+    assert number_rows(laid_out.filter("i < 0")).collect() == []
+
+
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
+    from estate_spark.functions import ordering
+
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 100)
+    assert ordered_layout(spark.range(1_000), ["id"]).rdd.getNumPartitions() == 10
+    monkeypatch.setattr(ordering, "MOST_RANGES", 3)
+    assert ordered_layout(spark.range(1_000), ["id"]).rdd.getNumPartitions() == 3
+    assert ordered_layout(spark.range(0), ["id"]).count() == 0
 
 
 @pytest.mark.parametrize("offset, limit", [(0, 0), (10, 0), (10, 25), (490, 50), (0, 1)])
@@ -115,6 +130,13 @@ def test_slice_skips_then_filters_then_limits(rows, offset, limit):
     assert got == (left[:limit] if limit else left)
 
 
+def test_rows_without_an_identifier_stay_in_a_slice(rows):
+    df = rows([(None, None, i) for i in range(5)] + [("u-1", "1", 9)], "url string, property_id string, i int")
+    done = incremental.with_fingerprint(df).select("fingerprint")
+    got = incremental.slice_rows(df, ["i"], done, 1, 3).collect()
+    assert sorted((r.i, r.row_index) for r in got) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_fingerprints_agree_between_id_and_url(rows):
     df = rows([("1", "x-1"), (None, "x-1"), ("", "x-1/"), (None, None), ("", "")], "property_id string, url string")
     got = [r.fingerprint for r in incremental.with_fingerprint(df).collect()]

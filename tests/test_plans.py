@@ -50,3 +50,23 @@ def test_counts_are_shuffled_once(spark):
 def test_page_json_is_parsed_once(spark):
     plan = plan_of(entry_points.queries()["p16_sold_fields"](spark, SF_DIR))
     assert plan.count("from_json(") == 1
+
+
+def exchanges(df) -> list[str]:
+    return re.findall(r"\bExchange (\w+)", plan_of(df).split("== Initial Plan ==")[0])
+
+
+@pytest.mark.parametrize("name", ["e4_slice", "e5_batches", "e5_batches_between"])
+def test_numbering_moves_no_row_once_laid_out(no_broadcast, monkeypatch, name):
+    """One range exchange lays rows out; numbers and limits need none after it."""
+    from estate_spark.functions import ordering
+
+    before = []
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 50)
+    real = ordering.materialise
+    monkeypatch.setattr(ordering, "materialise", lambda df: (before.append(exchanges(df)), real(df))[1])
+    df = entry_points.queries()[name](no_broadcast, SF_DIR)
+    assert exchanges(df) == []
+    assert len(before) == 1 and before[0].count("rangepartitioning") == 1
+    joins = 2 if name == "e4_slice" else 0  # rows and fingerprints, for the processed mark
+    assert before[0].count("hashpartitioning") >= joins
