@@ -68,11 +68,14 @@ def slice_rows(
     key = F.coalesce("fingerprint", F.hex(F.xxhash64(*marked.columns)))
     done = processed.select(F.col("fingerprint").alias("_key")).distinct().withColumn("_done", F.lit(True))
     marked = marked.withColumn("_key", key).join(done, "_key", "left").drop("_key")
-    numbered = number_rows(ordered_layout(marked, order))
-    remaining = numbered.filter((F.col("row_index") >= offset) & F.col("_done").isNull()).drop("_done")
-    if limit <= 0:
-        return remaining
-    return number_rows(remaining, "_kept").filter(F.col("_kept") < limit).drop("_kept")
+    return cut_slice(marked, order, "_done", offset, limit).drop("_done", "kept_index")
+
+
+def cut_slice(rows: DataFrame, order: Sequence[str], done: str, offset: int = 0, limit: int = 0) -> DataFrame:
+    """Rows from ``offset`` on that are not ``done``, ``limit`` of them (0: all), with ``row_index`` and ``kept_index``."""
+    numbered = number_rows(ordered_layout(rows, order))
+    left = number_rows(numbered.filter((F.col("row_index") >= offset) & F.col(done).isNull()), "kept_index")
+    return left if limit <= 0 else left.filter(F.col("kept_index") < limit)
 
 
 def slice_counts(rows: DataFrame, processed: DataFrame, written: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ step adds columns to that row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -222,9 +223,14 @@ def for_sale_fields(f: Column, cache: Column, listed: Column, as_of: date) -> di
 
 
 def extract_records(
-    pages: DataFrame, captured_at, as_of: date, zone: str = "UTC", requests: str | None = None
+    pages: DataFrame,
+    captured_at,
+    as_of: date,
+    zone: str = "UTC",
+    requests: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One raw record per page with every declared field, plus ``extract_error``.
+    """One raw record per page with every declared field, plus ``extract_error`` and the ``carry`` columns.
 
     Values are text (dates and viewing times excepted) so that validation can
     tell a misfit from a missing value. Pages without a listing type or object
@@ -262,6 +268,7 @@ def extract_records(
         F.lit(captured_at).cast("timestamp_ntz").alias("scraped_at"),
         *[every[n].alias(n) for n in data],
         error.alias("extract_error"),
+        *carry,
     )
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from estate_spark import schemas
 from estate_spark.operators import quality
-from estate_spark.plans import derived, detail_load
+from estate_spark.plans import batch_load, derived, detail_load
 from estate_spark.plans.catalog_quality import checked
 from estate_spark.plans.registry import query, scratch
 from estate_spark.session import materialise
 from estate_spark.sources import files, sinks, views
+from estate_spark.sources.commits import CommitLog
 
 
 def link_rows(spark, sf):
@@ -238,3 +239,105 @@ def _(spark, sf):
     return files.read_records(spark, f"{root}/records").groupBy("run_id", "property_type").agg(
         F.count("*").alias("n_records")
     )
+
+
+SETTINGS = dict(captured_at=datetime(2025, 11, 15), as_of=date(2025, 11, 20))
+GOOD = """NOT broken AND living_area >= 10 AND year_of_construction >= 1800 AND asking_price BETWEEN 100000 AND 50000000
+          AND (NOT sold OR (final_price BETWEEN 100000 AND 50000000 AND sold_date >= listed_date))"""
+METRICS_SQL = """CAST(count(*) AS BIGINT) AS processed, CAST(count(*) FILTER (WHERE good) AS BIGINT) AS successful,
+                 CAST(count(*) FILTER (WHERE NOT good) AS BIGINT) AS failed, count(*) FILTER (WHERE good) / count(*) * 100 AS success_rate"""
+
+
+def captured(spark, sf, *columns):
+    return materialise(derived.listing_pages(spark, sf).select("page_id", "url", "html", *columns))
+
+
+@query(
+    "s2_batches",
+    f"""WITH p AS (SELECT {GOOD} AS good, row_number() OVER (ORDER BY url) - 1 AS i FROM listing)
+        SELECT 'run-1' AS run_id, CAST(i // 5000 AS BIGINT) AS batch_id, {METRICS_SQL} FROM p GROUP BY 2""",
+    "sales",
+    "listing",
+)
+def _(spark, sf):
+    root, pages = scratch(spark, "batches"), captured(spark, sf)
+    return batch_load.load_batches(spark, pages.select("url"), pages, root, "run-1", derived.SITE, size=5000, **SETTINGS)
+
+
+@query(
+    "s2_slice_of_batches",
+    f"""WITH p AS (SELECT {GOOD} AS good, row_number() OVER (ORDER BY url) - 1 AS i FROM listing),
+             s AS (SELECT good, (i - 700) // 300 AS batch_id FROM p WHERE i >= 700 AND i < 4000)
+        SELECT 'run-1' AS run_id, CAST(batch_id AS BIGINT) AS batch_id, {METRICS_SQL} FROM s WHERE batch_id >= 2 AND batch_id < 9 GROUP BY 2""",
+    "sales",
+    "listing",
+)
+def _(spark, sf):
+    root, pages = scratch(spark, "batches"), captured(spark, sf)
+    cut = dict(size=300, offset=700, limit=3300, first=2, last=9, at_once=3)
+    return batch_load.load_batches(spark, pages.select("url"), pages, root, "run-1", derived.SITE, **cut, **SETTINGS)
+
+
+@query(
+    "s2_resume",
+    f"""WITH p AS (SELECT {GOOD} AS good, number_of_rooms <= 3 AS early, url FROM listing),
+             n AS (SELECT *, row_number() OVER (PARTITION BY early ORDER BY url) - 1 AS i FROM p),
+             m AS (SELECT CASE WHEN early THEN 'run-1' ELSE 'run-2' END AS run_id, i // 4000 AS batch_id, good FROM n)
+        SELECT run_id, CAST(count(DISTINCT batch_id) AS BIGINT) AS batches, CAST(max(batch_id) AS BIGINT) AS last_batch,
+               CAST(count(*) AS BIGINT) AS total_processed, CAST(count(*) FILTER (WHERE good) AS BIGINT) AS total_successful,
+               CAST(count(*) FILTER (WHERE NOT good) AS BIGINT) AS total_failed, count(*) FILTER (WHERE good) / count(*) * 100 AS success_rate,
+               CAST(count(*) FILTER (WHERE good) AS BIGINT) AS n_records, CAST(count(*) FILTER (WHERE good) AS BIGINT) AS n_urls
+        FROM m GROUP BY 1""",
+    "sales",
+    "listing",
+)
+def _(spark, sf):
+    """A run that stops within its second batch, is resumed with other links at hand, and a run after it."""
+    root, pages = scratch(spark, "resume"), captured(spark, sf)
+    log, links = CommitLog(spark, root), pages.select("url")
+    early = links.filter(F.rlike("url", F.lit("lagenhet-[123]rum")))
+    run = lambda some, name, **cut: batch_load.load_batches(spark, some, pages, root, name, derived.SITE, size=4000, **cut, **SETTINGS)
+    run(early, "run-1", last=1)
+    plan = batch_load.planned(log, early, "run-1", 4000)
+    batch_load.write_attempt(log, plan, pages, 1, 2, derived.SITE, **SETTINGS)  # its driver is lost before the commit
+    run(links, "run-1", at_once=2)
+    # of the links offered to the next run, those that failed in the first are still to do
+    failed = batch_load.rejected_links(spark, root).filter("run_id = 'run-1'").select("url")
+    run(links.join(failed, "url", "left_anti"), "run-2")
+    records = batch_load.loaded_records(spark, root).groupBy("run_id")
+    counts = records.agg(F.count("*").alias("n_records"), F.countDistinct("url").alias("n_urls"))
+    return batch_load.run_totals(spark, root).join(counts, "run_id")
+
+
+@query(
+    "s2_requests",
+    f"""SELECT url, CASE WHEN number_of_rooms <> 4 THEN CAST(55.5 AS DOUBLE) ELSE living_area / 100 + 55 END AS latitude,
+               CASE WHEN number_of_rooms <> 4 THEN CAST(concat('13.0', number_of_rooms) AS DOUBLE) ELSE number_of_rooms / 10 + 13 END AS longitude
+        FROM listing WHERE {GOOD}""",
+    "sales",
+    "listing",
+)
+def _(spark, sf):
+    root, pages = scratch(spark, "requests"), captured(spark, sf, "requests")
+    settings = dict(SETTINGS, requests="requests", size=100_000)
+    batch_load.load_batches(spark, pages.select("url"), pages, root, "run-1", derived.SITE, **settings)
+    return batch_load.loaded_records(spark, root).select("url", "latitude", "longitude")
+
+
+@query(
+    "s2_twice_captured",
+    f"""SELECT url, CASE WHEN sold THEN 'sold' ELSE 'for_sale' END AS property_type, scraped FROM
+        (SELECT url, sold, number_of_rooms % 2 AS odd, 'latest' AS scraped FROM listing WHERE {GOOD})
+        WHERE odd = 1""",
+    "sales",
+    "listing",
+)
+def _(spark, sf):
+    """Every page captured twice; the later capture of those with an even room count is broken."""
+    root, pages = scratch(spark, "twice"), captured(spark, sf)
+    even = F.rlike("url", F.lit("lagenhet-[2468]rum"))
+    older = pages.withColumns({"captured_at": F.lit(date(2025, 11, 1)), "html": F.when(even, F.col("html")).otherwise("<html></html>")})
+    later = pages.withColumns({"captured_at": F.lit(date(2025, 11, 2)), "html": F.when(even, F.lit("<html></html>")).otherwise(F.col("html"))})
+    both = older.unionByName(later)
+    batch_load.load_batches(spark, both.select("url"), both, root, "run-1", derived.SITE, size=100_000, **SETTINGS)
+    return batch_load.loaded_records(spark, root).select("url", "property_type", F.lit("latest").alias("scraped"))
