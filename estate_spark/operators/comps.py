@@ -2,63 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from estate_spark.functions.intervals import nearest_points, newest, rows_between
+from estate_spark.session import materialise
+
 GROUP = ("neighborhood", "number_of_rooms")
 AREA = "living_area"
 PAYLOAD = ("property_id", "final_price", "living_area", "sale_year")
 
 
-def _newest(df: DataFrame, keys: Sequence[str | Column], k: int) -> DataFrame:
-    """Newest ``k`` rows per key; cut down on the map side before any shuffle."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("sale.sale_year"), "sale.property_id")
-    return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def newest_first() -> tuple[Column | str, ...]:
+    return F.desc("sale.sale_year"), "sale.property_id"
 
 
-def _overlapping_bands(low: Column, high: Column, margin: int):
-    """Whole bands strictly inside the reach, and the bands at its two ends."""
-    inner = F.sequence(low + margin, high - margin)
-    ends = F.array_union(F.sequence(low, low + margin - 1), F.sequence(high - margin + 1, high))
-    return inner, ends
+def _cells(sales: DataFrame, keys: dict[str, str], k: int) -> DataFrame:
+    """The newest ``k`` sales of each exact area: no other can be in an answer."""
+    sale = F.struct(*[F.col(c) for c in PAYLOAD]).alias("sale")
+    measured = sales.filter(_is_number(AREA))
+    cells = measured.select(*[F.col(c).alias(n) for n, c in keys.items()], F.col(AREA).cast("double").alias("a"), sale)
+    return newest(cells, [*keys, "a"], newest_first(), k).drop("rank")
 
 
-def comparable_sales(
-    probes: DataFrame, sales: DataFrame, k: int = 5, reach: float = 10.0, band: float = 1.0
-) -> DataFrame:
-    """The ``k`` newest sales within ``reach`` of each probe's area.
+def _is_number(column: str) -> Column:
+    return F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
 
-    Exact without forming all pairs. Sales of one exact area are
-    interchangeable for the area test, so only the newest ``k`` per (group,
-    area) can appear in an answer, and of an area band that lies wholly within
-    reach only its newest ``k``. Probes of one (group, area) share one answer.
-    What remains to join are short lists: whole bands by equality, the bands at
-    both ends by equality and the area test.
-    """
-    if reach < 2 * band:
-        raise ValueError("band must be at most half of reach")
-    sale = F.struct(*[F.col(c) for c in PAYLOAD]).alias("sale")
-    band_of = lambda c: F.floor(c / band).cast("long")
 
-    cells = _newest(sales.select(*GROUP, F.col(AREA).alias("a"), sale), [*GROUP, "a"], k).drop("rank")
-    cells = cells.withColumn("b", band_of(F.col("a")))
-    whole = _newest(cells, [*GROUP, "b"], k).drop("rank", "a")
-
-    wanted = probes.select(*GROUP, F.col(AREA).alias("probe_area")).distinct()
-    low, high = band_of(F.col("probe_area") - reach), band_of(F.col("probe_area") + reach)
-    inner, ends = _overlapping_bands(low, high, margin=2)
+def comparable_sales(probes: DataFrame, sales: DataFrame, k: int = 5, reach: float = 10.0) -> DataFrame:
+    """The ``k`` newest sales within ``reach`` of each probe's area.
 
-    from_whole = wanted.withColumn("b", F.explode(inner)).join(whole, [*GROUP, "b"])
-    from_ends = (
-        wanted.withColumn("b", F.explode(ends))
-        .join(cells, [*GROUP, "b"])
-        .filter(F.abs(F.col("a") - F.col("probe_area")) <= reach)
-    )
-    columns = [*GROUP, "probe_area", "sale"]
-    candidates = from_whole.select(*columns).unionByName(from_ends.select(*columns))
-    best = _newest(candidates, [*GROUP, "probe_area"], k)
+    Exact without forming pairs: each distinct (group, area) that is probed is
+    one search for the newest sales within an interval, and a search joins a
+    few rows a level of dyadic intervals, whatever the number of areas in reach.
+    """
+    cells = _cells(sales, {c: c for c in GROUP}, k)
+    area = F.col("probe_area")
+    wanted = probes.filter(_is_number(AREA)).select(*GROUP, F.col(AREA).cast("double").alias("probe_area")).distinct()
+    found = rows_between(wanted.withColumns({"low": area - reach, "high": area + reach}), cells, GROUP, newest_first(), k)
+    candidates = found.filter(F.col("sure") | (F.abs(F.col("a") - area) <= reach))
+    best = newest(candidates, [*GROUP, "probe_area"], newest_first(), k)
     answers = best.groupBy(*GROUP, "probe_area").agg(
         F.array_sort(F.collect_list(F.struct("rank", "sale"))).alias("comps")
     )
@@ -87,30 +70,40 @@ def similar_sales(
     """Up to ``k`` most similar sales per probe with a score of at least ``threshold``.
 
     Score: one minus the area gap over ``reach``, weighed 0.7, plus 0.3 for the
-    same ownership form, inside one neighbourhood and room count. Sales with
-    the same area and ownership form score the same, so the search runs over
-    distinct (area, form) cells holding their newest ``k`` sales each.
+    same ownership form, inside one neighbourhood and room count, rounded to
+    six places. A probe is searched for in each ownership form: the sales of
+    the ``k`` areas next to its own on either side hold the best scores. Only
+    the score of the last of them may be shared by further areas, which make
+    two narrow intervals, searched for their newest sales.
     """
-    sale = F.struct(*[F.col(c) for c in PAYLOAD]).alias("sale")
-    cell_keys = [*GROUP, "a", "form"]
-    cells = _newest(
-        sales.select(*GROUP, F.col(AREA).alias("a"), F.col("ownership_form").alias("form"), sale), cell_keys, k
-    ).drop("rank")
-    cells = cells.withColumn("b", F.floor(F.col("a") / reach).cast("long"))
-    wanted = probes.select(
-        *GROUP, F.col(AREA).alias("probe_area"), F.col("ownership_form").alias("probe_form")
-    ).distinct()
-    own = F.floor(F.col("probe_area") / reach).cast("long")
-    # equal forms may differ in area up to the reach; other forms cannot pass 0.7 unless areas agree
-    candidates = wanted.withColumn("b", F.explode(F.sequence(own - 1, own + 1))).join(cells, [*GROUP, "b"])
-    closeness = 1 - F.abs(F.col("a") - F.col("probe_area")) / reach
-    score = closeness * 0.7 + F.when(F.col("form") == F.col("probe_form"), 0.3).otherwise(0.0)
-    scored = candidates.withColumn("score", F.round(score, 6)).filter(F.col("score") >= threshold)
+    forms = (*GROUP, "form")
+    cells = _cells(sales, {**{c: c for c in GROUP}, "form": "ownership_form"}, k)
+    form = F.col("ownership_form").alias("probe_form")
+    wanted = probes.filter(_is_number(AREA)).select(*GROUP, F.col(AREA).cast("double").alias("probe_area"), form).distinct()
+    search = wanted.join(cells.select(*forms).distinct(), list(GROUP))
     probe_keys = [*GROUP, "probe_area", "probe_form"]
-    order = Window.partitionBy(*probe_keys).orderBy(
-        F.desc("score"), F.desc("sale.sale_year"), "sale.property_id"
-    )
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    area = F.col("probe_area")
+    bonus = F.when(F.col("form") == F.col("probe_form"), 0.3).otherwise(0.0)
+    distance = F.abs(F.col("a") - area)
+    score = F.round((1 - distance / reach) * 0.7 + bonus, 6)
+
+    near = nearest_points(search, cells, forms, "probe_area", k).withColumn("score", score)
+    fit = near.filter((F.col("score") >= threshold) & (distance <= reach))
+    ranked = materialise(newest(fit, [*probe_keys, "form"], [F.desc("score"), *newest_first()], k).drop("a"))
+    # areas further off may share the score of the last of k sales: they lie between two distances on either side
+    last = ranked.filter(F.col("rank") == k).select(*probe_keys, "form", F.col("score").alias("tied"))
+    gap = lambda s: (1 - (s - bonus) / 0.7) * reach
+    far, close = F.least(gap(F.col("tied") - 5e-7), F.lit(reach)), gap(F.col("tied") + 5e-7)
+    side = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    both = F.array(side(area - far, area - close), side(area + close, area + far))
+    sides = F.when(close < 1e-8 * (1 + F.abs(area) + reach), F.array(side(area - far, area + far))).otherwise(both)
+    ties = last.select("*", F.posexplode(sides).alias("side", "s")).select(*last.columns, "side", "s.*")
+    # one interval over both sides also holds the fewer than k sales of better scores: twice k are asked for
+    tied = rows_between(ties, cells, forms, newest_first(), 2 * k).withColumn("score", score)
+    tied = tied.filter((F.col("score") == F.col("tied")) & (distance <= reach))
+    better = ranked.join(last, [*probe_keys, "form"], "left").filter("tied IS NULL OR score > tied")
+    columns = [*probe_keys, "score", "sale"]
+    best = newest(better.select(*columns).unionByName(tied.select(*columns)), probe_keys, [F.desc("score"), *newest_first()], k)
     answers = best.groupBy(*probe_keys).agg(F.collect_list(F.struct("rank", "score", "sale")).alias("comps"))
     return (
         probes.select(

@@ -1,5 +1,6 @@
 """Brute-force checks on small fixtures, with hot groups, ties and nulls."""
 
+import decimal
 import random
 from datetime import date, datetime, timedelta
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from estate_spark.functions.intervals import nearest_points, rows_between, whole_nodes
 from estate_spark.functions.ordering import asof_match, number_rows, ordered_layout, previous_value
 from estate_spark.functions.quantiles import approximate_quantiles, exact_quantiles, group_summary
 from estate_spark.operators import clean, comps, history, incremental, links, market, ranges
@@ -54,6 +56,47 @@ def test_comparables_match_brute_force(rows, area):
     assert got == want
 
 
+@pytest.mark.parametrize("area", [lambda rng: float(rng.randrange(20, 40)), lambda rng: rng.uniform(20, 60), lambda rng: 30 + rng.randrange(60) * 2e-6])
+def test_similar_sales_match_brute_force(rows, area):
+    rng = random.Random(11)
+    data = [
+        (f"p{i:04d}", "hot" if rng.random() < 0.7 else rng.choice(["a", None]), rng.choice([1, 2]), area(rng), 1000 + i, rng.choice([2000, 2001, 2002]), rng.choice("xyz"))
+        for i in range(300)
+    ]
+    df = rows(data, "property_id string, neighborhood string, number_of_rooms int, living_area double, final_price long, sale_year int, ownership_form string")
+    got = {(r.probe_id, r.comp_rank): (r.comp_id, r.score) for r in comps.similar_sales(df, df).collect()}
+    want = {}
+    for p in data:
+        near = []
+        for s in data:
+            gap = abs(s[3] - p[3])
+            score = float(decimal.Decimal(repr((1 - gap / 10.0) * 0.7 + (0.3 if s[6] == p[6] else 0.0))).quantize(decimal.Decimal("1e-6"), decimal.ROUND_HALF_UP))
+            if p[1] is not None and s[1:3] == p[1:3] and gap <= 10 and score >= 0.7:
+                near.append((-score, -s[5], s[0], score))
+        for rank, s in enumerate(sorted(near)[:5], 1):
+            want[p[0], rank] = (s[2], s[3])
+    assert got == want
+
+
+def test_intervals_are_cut_into_whole_nodes(rows):
+    pairs = [(low, high) for low in range(0, 40) for high in range(0, 70, 3)]
+    got = rows(pairs, "low long, high long").select("low", "high", whole_nodes(F.col("low"), F.col("high")).alias("nodes")).collect()
+    for r in got:
+        places = [i for n in r.nodes for i in range(n.node << n.level, (n.node + 1) << n.level)]
+        assert sorted(places) == list(range(r.low, r.high))
+        assert len(r.nodes) <= 2 * max(1, (r.high - r.low).bit_length())
+
+
+def test_search_rows_grow_with_the_probes_not_with_the_pairs(spark):
+    """Many distinct areas in one group: a few rows a level for each probe, though thousands of areas are in reach."""
+    n, k = 20_000, 5
+    areas = spark.range(n).select(F.lit("hot").alias("g"), (20 + F.col("id") * 40 / n).alias("a"))
+    cells = areas.withColumn("sale", F.struct((F.xxhash64("a") % 50).alias("sale_year"), F.col("a").cast("string").alias("property_id")))
+    probes = areas.select("g", F.col("a").alias("at"), (F.col("a") - 10).alias("low"), (F.col("a") + 10).alias("high"))
+    assert rows_between(probes, cells, ["g"], comps.newest_first(), k).count() < n * 2 * k * 14
+    assert nearest_points(probes.select("g", "at"), cells, ["g"], "at", k).count() <= n * 2 * k
+
+
 def test_top_rows_are_cut_before_the_shuffle(rows):
     df = rows([("a", 1, 2)], "k string, o int, x int")
     plan = links.first_per(df, "k", "o")._jdf.queryExecution().executedPlan().toString()
