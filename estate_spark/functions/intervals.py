@@ -68,7 +68,7 @@ def rows_between(
     be among the newest are there.
     """
     keys = [c for c in probes.columns if c not in ("low", "high")]
-    wanted = probes.filter("low IS NOT NULL AND high IS NOT NULL").distinct()
+    wanted, cells = materialise(probes.filter("low IS NOT NULL AND high IS NOT NULL").distinct()), materialise(cells)
     margin = (1 + F.abs("low") + F.abs("high")) * 1e-9
     ends = {
         "outer_low": (F.col("low") - margin, BEFORE),
@@ -99,11 +99,8 @@ def rows_between(
 
 def nearest_points(probes: DataFrame, cells: DataFrame, group: Sequence[str], at: str, k: int, value: str = "a") -> DataFrame:
     """Rows of the ``k`` points next to a probe's value on either side, in its group."""
-    points, found = count_before(
-        cells.select(*group, value).distinct(),
-        probes.filter(F.col(at).isNotNull()).distinct().withColumns({"_v": F.col(at).cast("double"), "_kind": F.lit(BEFORE)}),
-        group,
-        value,
-    )
+    wanted, cells = materialise(probes.filter(F.col(at).isNotNull()).distinct()), materialise(cells)
+    bounds = wanted.withColumns({"_v": F.col(at).cast("double"), "_kind": F.lit(BEFORE)})
+    points, found = count_before(cells.select(*group, value).distinct(), bounds, group, value)
     near = found.withColumn("_i", F.explode(F.sequence(F.col("_before") - k, F.col("_before") + k - 1))).drop("_before")
     return near.join(cells.join(points, [*group, value]), [*group, "_i"]).drop("_i")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date
+import re
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from estate_spark.operators import incremental, links, ranges
+from estate_spark.operators import incremental, ledger, links, ranges
 from estate_spark.plans.catalog_market import RANGE_CHAIN
-from estate_spark.plans.registry import VIEW_SQL, query
+from estate_spark.plans.registry import VIEW_SQL, query, scratch
 from estate_spark.sources import files, views
 
 # a sale seen under its listing key: several rows per key, one month label each
@@ -187,6 +188,65 @@ def _(spark, sf):
     return incremental.ranges_to_do(planned, planned.filter("lo < 40")).select("lo", "hi")
 
 
+EARLY_CHAIN = re.sub(r"\b(h|cum|nxt|chain|rng)\b", r"early_\1", RANGE_CHAIN).replace("FROM sales", "FROM sales WHERE sale_year < 1996")
+
+
+@query(
+    "c3_ledger",
+    f"""WITH {EARLY_CHAIN}, {RANGE_CHAIN},
+             done AS (SELECT lo, hi FROM early_rng WHERE lo < 60 OR lo BETWEEN 120 AND 199),
+             todo AS (SELECT r.lo AS plan_lo, r.hi AS plan_hi, u FROM rng r JOIN (SELECT range AS u FROM range(0, 500)) ON u >= r.lo AND u < r.hi
+                      WHERE NOT EXISTS (SELECT 1 FROM done WHERE u >= done.lo AND u < done.hi)),
+             island AS (SELECT *, u - row_number() OVER (PARTITION BY plan_lo ORDER BY u) AS g FROM todo)
+        SELECT CAST(min(u) AS INTEGER) AS lo, CAST(max(u) + 1 AS INTEGER) AS hi, CAST(plan_lo AS INTEGER) AS plan_lo, CAST(plan_hi AS INTEGER) AS plan_hi
+        FROM island GROUP BY plan_lo, plan_hi, g""",
+    "sales",
+    recursive=True,
+)
+def _(spark, sf):
+    """Ranges completed on early data, by two runs, against a chain cut anew on all data."""
+    sales, path = views.sales(spark, sf), scratch(spark, "ledger")
+    early = ranges.density_ranges(ranges.unit_histogram(sales.filter("sale_year < 1996")))
+    for run_id, done in (("run-1", early.filter("lo < 60")), ("run-2", early.filter("lo BETWEEN 120 AND 199")), ("run-2", early.filter("lo = 0"))):
+        ledger.record_completed(done, path, "areas", run_id, datetime(2025, 11, 15))
+    planned = ranges.density_ranges(ranges.unit_histogram(sales))
+    return ledger.uncovered(planned, ledger.read_ledger(spark, path, "areas"))
+
+
+@query(
+    "c3_covered",
+    f"""WITH {EARLY_CHAIN}, done AS (SELECT lo, hi FROM early_rng WHERE lo < 60 OR lo BETWEEN 120 AND 199),
+             unit AS (SELECT u FROM (SELECT range AS u FROM range(0, 500)) WHERE EXISTS (SELECT 1 FROM done WHERE u >= lo AND u < hi)),
+             island AS (SELECT u, u - row_number() OVER (ORDER BY u) AS g FROM unit)
+        SELECT CAST(min(u) AS INTEGER) AS lo, CAST(max(u) + 1 AS INTEGER) AS hi FROM island GROUP BY g""",
+    "sales",
+    recursive=True,
+)
+def _(spark, sf):
+    early = ranges.density_ranges(ranges.unit_histogram(views.sales(spark, sf).filter("sale_year < 1996")))
+    return ledger.covered(early.filter("lo < 60").unionByName(early.filter("lo BETWEEN 120 AND 199")))
+
+
+@query(
+    "c2_month_ledger",
+    """WITH m AS (SELECT DISTINCT date_trunc('month', sold_date)::DATE AS m, number_of_rooms = 1 AS whole FROM sales WHERE number_of_rooms <= 2),
+            done AS (SELECT m AS lo, (CASE WHEN whole THEN m + INTERVAL 1 MONTH ELSE m + INTERVAL 12 DAY END)::DATE AS hi FROM m),
+            day AS (SELECT unnest(generate_series(DATE '1990-01-01', DATE '2010-12-31', INTERVAL 1 DAY))::DATE AS d),
+            left_ AS (SELECT d FROM day WHERE NOT EXISTS (SELECT 1 FROM done WHERE d >= lo AND d < hi)),
+            island AS (SELECT d, strftime(d, '%Y-%m') AS month, d - CAST(row_number() OVER (PARTITION BY strftime(d, '%Y-%m') ORDER BY d) AS INTEGER) AS g FROM left_)
+       SELECT month, min(d) AS lo, (max(d) + INTERVAL 1 DAY)::DATE AS hi FROM island GROUP BY month, g""",
+    "sales",
+)
+def _(spark, sf):
+    """Whole months completed by one run, the first twelve days of others by the next."""
+    sales, path = views.sales(spark, sf), scratch(spark, "ledger")
+    first = F.trunc("sold_date", "month")
+    for run_id, rooms, end in (("run-1", 1, F.add_months("lo", 1)), ("run-2", 2, F.date_add("lo", 12))):
+        months = sales.filter(F.col("number_of_rooms") == rooms).groupBy(first.alias("lo")).agg(F.count("*").alias("n_rows"))
+        ledger.record_completed(months.withColumn("hi", end), path, "sold", run_id, datetime(2025, 11, 15))
+    return ledger.months_left(spark, date(1990, 1, 1), date(2010, 12, 1), ledger.read_ledger(spark, path, "sold", "date"))
+
+
 _ORDERED = """o AS (SELECT page_id, pos, href, row_number() OVER (ORDER BY page_id, pos) - 1 AS row_index FROM links)"""
 
 
