@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estate_spark.llm.batches import packed, slices
-from estate_spark.llm.hat_trie import HatTrie, packed_rest, unpacked_rest
+from estate_spark.llm.hat_trie import ID_BITS, HatTrie, packed_rest, unpacked_rest
 from estate_spark.session import shared_dir
 
 LONGEST = 4  # words of a phrase
@@ -64,8 +64,12 @@ def places(hashes: np.ndarray, shift: np.uint64) -> np.ndarray:
     return (hashes * np.uint64(GOLDEN)) >> shift
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=xxhash.xxh32_intdigest(lang.encode()))
+def lang_seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang.encode())
+
+
+def word_hash(seed: int, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word, seed=seed)
 
 
 def pair_hashes(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -84,7 +88,7 @@ def bit_table(frequent: DataFrame) -> BitTable | None:
         for batch in batches:
             keys = []
             for lang, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = [word_hash(lang, word) for word in head.encode().split(b" ")]
+                hashes = [word_hash(lang_seed(lang), word) for word in head.encode().split(b" ")]
                 keys.append([hashes[0], hashes[-1]])
             keys = np.array(keys, np.uint64).reshape(-1, 2)
             single = np.array([" " not in head for head in batch.column(1).to_pylist()], bool)
@@ -104,11 +108,11 @@ class Vocabulary(dict):
 
     def __init__(self, lang: str, admits: BitTable | None):
         super().__init__({EDGE: 0})
-        self.lang, self.admits = lang, admits
+        self.seed, self.admits = lang_seed(lang), admits
         self.words, self.hashes = [b""], [0]
 
     def __missing__(self, word: bytes) -> int:
-        value = word_hash(self.lang, word)
+        value = word_hash(self.seed, word)
         if self.admits is not None and not self.admits.holds_one(value):
             self[word] = 0
             return 0
@@ -187,7 +191,8 @@ class Level:
             rank = np.empty(len(words), np.int64)
             rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
             columns = [first, *unpacked_rest(key)]
-            order = np.lexsort([rank[c] for c in reversed(columns)])
+            ranked = [rank[one] << ID_BITS | rank[two] for one, two in (columns[:2], columns[2:])]
+            order = np.lexsort(ranked[::-1]) if columns[2].any() else np.argsort(ranked[0])
             for low in range(0, len(order), RUN_ROWS):
                 rows = order[low : low + RUN_ROWS]
                 one, two, three, four = (words.take(pa.array(c[rows])) for c in columns)
@@ -198,6 +203,8 @@ class Level:
 
 def joined(one: pa.Array, two: pa.Array) -> pa.Array:
     """Two words with a space between, or one where the second is empty."""
+    if not pc.any(pc.greater(pc.binary_length(two), 0)).as_py():
+        return one
     space = pc.if_else(pc.equal(pc.binary_length(two), 0), pa.scalar(b""), pa.scalar(b" "))
     return pc.binary_join_element_wise(one, two, space)
 

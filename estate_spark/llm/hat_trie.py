@@ -37,8 +37,12 @@ class HatTrie:
         """Count phrases of two words or more, each once for every time it is given."""
         if not len(first):
             return
-        order = np.lexsort((rest, first))
-        first, rest = first[order], rest[order]
+        if (rest & (1 << 2 * ID_BITS) - 1).any():
+            order = np.lexsort((rest, first))
+            first, rest = first[order], rest[order]
+        else:  # pairs: both words in one number
+            pairs = np.sort(first << ID_BITS | rest >> 2 * ID_BITS)
+            first, rest = pairs >> ID_BITS, (pairs & WORDS - 1) << 2 * ID_BITS
         heads = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])])
         counts = np.diff(np.r_[heads, len(first)]).tolist()
         first, keys = first[heads], rest[heads].tolist()
