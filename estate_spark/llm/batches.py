@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20  # text worked on at once by the numpy operators, beyond a single longer text
 
@@ -54,3 +57,43 @@ def write_file(uri: str) -> pa.NativeFile:
 def read_file(uri: str) -> pa.NativeFile:
     store, path = pa.fs.FileSystem.from_uri(uri)
     return store.open_input_file(path)
+
+
+def a_task_each(files: DataFrame) -> DataFrame:
+    """Rows of a manifest dealt out so that about each ``file`` has a task; a given number is not merged by size, as names are tiny."""
+    return files.repartitionByRange(max(1, files.count()), "file")
+
+
+def keyed_schema(docs: DataFrame, key: str, others: str) -> T.StructType:
+    """The key's own type, whatever it is, as ``key``, and the columns of a schema string."""
+    return T.StructType([T.StructField("key", docs.schema[key].dataType), *T.StructType.fromDDL(others).fields])
+
+
+def thinned(labelled: DataFrame, by: str | list[str], spread: Column, rows: int) -> DataFrame:
+    """About eight times ``rows`` rows of each group, or all it has, by a hash: what goes on does not grow with the table.
+
+    The groups are few: classes, or languages.
+    """
+    by = [by] if isinstance(by, str) else by
+    counts = labelled.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > 8 * rows).collect()
+    keep = F.lit(True)
+    for found in counts:
+        share = int((1 << 30) * 8 * rows / found["n"]) + 1
+        mine = F.lit(True)
+        for name in by:
+            mine = mine & F.col(name).eqNullSafe(F.lit(found[name]))
+        keep = F.when(mine, F.pmod(spread, F.lit(1 << 30)) < share).otherwise(keep)
+    return labelled.where(keep)
+
+
+def text_rows(docs: DataFrame, key: str, text: str, *others: Column) -> DataFrame:
+    """``key``, ``text`` and others as operators take them; a text that is a field of the key is not sent a second time."""
+    sent = [] if text.startswith(f"{key}.") else [F.col(text).alias("text")]
+    return docs.select(F.col(key).alias("key"), *sent, *others)
+
+
+def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
+    """The texts of a batch of :func:`text_rows`."""
+    if "text" in batch.schema.names:
+        return batch.column("text")
+    return pc.struct_field(batch.column("key"), text.rpartition(".")[2])

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estate_spark.llm.batches import lists_of, parts
+from estate_spark.llm.caches import claim, held_by, rest
 from estate_spark.llm.pretokens import TextEncoder
 
 STATES = 100_000  # kept in a worker before it starts anew
@@ -198,6 +199,9 @@ def worker_encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(pattern, piece)
 
 
+held_by("byte_bpe", worker_encoder.cache_clear)
+
+
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> list[bytes | None]:
     ranks = read_ranks(path)
@@ -217,6 +221,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("byte_bpe")
         encoder = worker_encoder(ranks_path, pattern)
         gc.disable()  # memos hold many tuples and no cycles; looking through them again and again takes a third of the time
         try:
@@ -225,6 +230,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists_of(chunks, "<i4", pa.int32())], ["key", "ids"])
         finally:
             gc.enable()
+            rest()
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {key_type}, ids array<int>")
     return out.toDF(key, ids)
@@ -242,6 +248,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", decoded: str =
     place = tokens.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("byte_bpe")
         table = token_bytes(ranks_path)
         for batch in parts(batches):
             bodies, whole = [], []

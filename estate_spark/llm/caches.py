@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
+IDLE_SECONDS = 3.0  # after a task, until a worker that gets no other gives its memory back
+
+_held: dict[str, Callable[[], None]] = {}
+_idle: list[threading.Timer] = []
+
 LONGEST_KEY = 64
 
 
+def held_by(owner: str, clear: Callable[[], None]) -> None:
+    """Name what drops the memory that an operator keeps in a worker over its tasks."""
+    _held[owner] = clear
+
+
+def claim(owner: str) -> None:
+    """Begin a task: drop what other operators keep in this worker, as workers outlive the jobs that filled them."""
+    while _idle:
+        _idle.pop().cancel()
+    for other, clear in list(_held.items()):
+        if other != owner:
+            clear()
+
+
+def rest() -> None:
+    """End a task: what is kept goes too, unless the next task begins soon. A late call only costs time."""
+    timer = threading.Timer(IDLE_SECONDS, lambda: [clear() for clear in list(_held.values())])
+    timer.daemon = True
+    _idle.append(timer)
+    timer.start()
+
+
 class WordMemo(dict):
     """``memo[word]``, computed where missing.
 

@@ -15,10 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estate_spark.llm.batches import SLICE_BYTES, packed, slices
+from estate_spark.llm.batches import SLICE_BYTES, keyed_schema, packed, slices
+from estate_spark.llm.caches import claim
 
 Q = 8  # characters (UTF-8 bytes) of a gram: one 64-bit number
 WINDOW = 120  # bytes of an item that must be found; shorter items as a whole
@@ -27,6 +29,8 @@ ALIGNED_AT_ONCE = 256  # windows in one alignment: bounds its memory to some MB
 BAND = 16  # a band covers BAND diagonals and as many more as edits allow
 LEAST_BYTES = 40  # shorter items are no evidence and never reported
 BLOCK_BYTES = 2 << 20  # of items in one pass over the documents: the bound on what is broadcast
+ENTRIES = 1 << 20  # pairs of a text's and an item's place of one gram that are held at once
+OVERLAP = 4 * (WINDOW + BAND)  # of neighbouring parts of one stream
 FILTER_BITS = 22
 MARK = 32
 
@@ -159,7 +163,12 @@ def judged(index: ItemIndex, stream: np.ndarray, which: np.ndarray, begin: np.nd
 
 
 def regions(index: ItemIndex, stream: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Text, item, item position and edits of each window found in ``stream``, whose texts start at ``begins``."""
+    """Text, item, item position and edits of each window found in ``stream``, whose texts start at ``begins``.
+
+    A text that repeats a gram which an item repeats too has an entry for each
+    pair of places. While these are too many the stream is halved, with an
+    overlap, so that what is held at once stays bounded and no find is lost.
+    """
     found = grams(stream)
     hit = index.present[slots(found)]
     # only stretches with enough hits for some window go on; a stretch is a window and its band
@@ -171,6 +180,13 @@ def regions(index: ItemIndex, stream: np.ndarray, begins: np.ndarray) -> Iterato
     at = at[dense[at + 1] > dense[np.maximum(at + 1 - reach, 0)]]
     low = np.searchsorted(index.gram, found[at], "left")
     many = np.searchsorted(index.gram, found[at], "right") - low
+    if many.sum() > ENTRIES and len(stream) > 4 * OVERLAP:
+        half = len(stream) // 2
+        for start, part in ((0, stream[: half + OVERLAP]), (half, stream[half:])):
+            first, last = int(np.searchsorted(begins, start, "right")) - 1, int(np.searchsorted(begins, start + len(part), "left"))
+            for text, which, begin, edits in regions(index, part, np.maximum(begins[first:last] - start, 0)):
+                yield first + text, which, begin, edits
+        return
     entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
     text_at = np.repeat(at, many)
     item, place = index.item[entry], index.place[entry]
@@ -214,6 +230,31 @@ def regions(index: ItemIndex, stream: np.ndarray, begins: np.ndarray) -> Iterato
         yield from zip(inside[good].tolist(), which[good].tolist(), begin[good].tolist(), edits[good].tolist())
 
 
+def item_blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """Indexes of the distinct item texts ``t`` in blocks of bounded size, keyed by the text itself.
+
+    Blocks are dealt by a hash of distinct texts, so copies of one item cannot
+    fill a block. Each is collected and indexed when its pass is built.
+    """
+    texts = items.select("t").distinct()
+    size = texts.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0
+    blocks = int(size // BLOCK_BYTES) + 1
+    for block in range(blocks):
+        part = [r.t for r in texts.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).orderBy("t").collect()]
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex.build(part, part))
+
+
+def hits_of(index: ItemIndex, texts: pa.Array) -> dict[tuple[int, int], dict[int, int]]:
+    """For each row and item found in its text: the best edits of each window, by where it begins."""
+    data, starts = packed(texts)
+    hits: dict[tuple[int, int], dict[int, int]] = {}
+    for low, high in slices(starts):
+        for doc, which, begin, edits in scan(index, data[starts[low] : starts[high]], starts[low : high + 1] - starts[low]):
+            best = hits.setdefault((low + doc, which), {})
+            best[begin] = min(edits, best.get(begin, edits))
+    return hits
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document row and item found in it: ``key``, ``item_key``, n_windows, edits (of the best window).
 
@@ -221,52 +262,60 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     item, if shorter), occur within one text with at most EDIT_RATE edits;
     n_windows counts the beginnings. Null and empty texts and items
     and items under LEAST_BYTES match nothing; repeated document rows are
-    reported each; null keys are carried; equal items are reported each; other
-    columns are not read. Items are taken in blocks of bounded size, each a pass
-    over the documents.
+    reported each; null keys are carried; equal items are indexed once and
+    reported each; other columns are not read. Items are taken in blocks of
+    bounded size, each a pass over the documents.
     """
     items = benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0
-    blocks = int(size // BLOCK_BYTES) + 1
-    key_type, item_type = docs.schema[key].dataType, benchmark.schema[item_key].dataType
-    schema = f"key {key_type.simpleString()}, item {item_type.simpleString()}, n_windows int, edits int"
     rows = docs.select(F.col(key).alias("key"), F.lower(text).alias("text")).where("text IS NOT NULL")
     out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).orderBy("i", "t").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex.build([r.i for r in part], [r.t for r in part]))
+    for shared in item_blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("decontamination")
             index = shared.value
             for batch in batches:
-                data, starts = packed(batch.column(1))
-                keys = batch.column(0)
-                hits: dict[tuple[int, int], dict[int, int]] = {}
-                for low, high in slices(starts):
-                    for doc, which, begin, edits in scan(index, data[starts[low] : starts[high]], starts[low : high + 1] - starts[low]):
-                        best = hits.setdefault((low + doc, which), {})
-                        best[begin] = min(edits, best.get(begin, edits))
+                hits = hits_of(index, batch.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.take(pa.array([doc for doc, _ in hits], pa.int64())),
-                        pa.array([index.keys[which] for _, which in hits], pa.from_numpy_dtype(np.int64) if item_type.simpleString() == "bigint" else None),
+                        batch.column(0).take(pa.array([doc for doc, _ in hits], pa.int64())),
+                        pa.array([index.keys[which] for _, which in hits], pa.string()),
                         pa.array([len(best) for best in hits.values()], pa.int32()),
                         pa.array([min(best.values()) for best in hits.values()], pa.int32()),
                     ],
-                    ["key", "item", "n_windows", "edits"],
+                    ["key", "t", "n_windows", "edits"],
                 )
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(run, keyed_schema(docs, key, "t string, n_windows int, edits int"))
         out = found if out is None else out.unionByName(found)
-    return out.toDF(key, item_key, "n_windows", "edits")
+    return out.join(items, "t").select("key", "i", "n_windows", "edits").toDF(key, item_key, "n_windows", "edits")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text no item is found, in the sense of :func:`find_leaks`.
+
+    Rows are judged one by one where they lie and pass one block of items after
+    the other, so nothing is shuffled and rows need no key.
+    """
+    items = benchmark.select(F.col(item_text).alias("t")).where("t IS NOT NULL")
+    rows = docs.select(F.struct(*docs.columns).alias("key"), F.lower(text).alias("text"))
+    for shared in item_blocks(items):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("decontamination")
+            for batch in batches:
+                leaks = {doc for doc, _ in hits_of(shared.value, batch.column(1))}
+                yield batch.filter(pa.array([doc not in leaks for doc in range(batch.num_rows)], pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("key.*")
 
 
 def scan(index: ItemIndex, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """Text number, item, item position and edits of each window found; long texts in overlapping parts."""
     stream, begins = plain(data, starts)
-    overlap = 4 * (WINDOW + BAND)
     for low in range(0, len(stream), SLICE_BYTES):
-        part = stream[low : low + SLICE_BYTES + overlap]
+        part = stream[low : low + SLICE_BYTES + OVERLAP]
         first, last = int(np.searchsorted(begins, low, "right")) - 1, int(np.searchsorted(begins[:-1], low + len(part), "left"))
         for text, which, begin, edits in regions(index, part, np.maximum(begins[first:last] - low, 0)):
             yield first + text, which, begin, edits

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estate_spark.llm.batches import packed, slices
+from estate_spark.llm.batches import keyed_schema, packed, slices, text_rows, texts_of, thinned
+from estate_spark.llm.caches import claim
 
 ORDER = 3
 SAMPLE_ROWS = 300  # labelled rows of each language that are learned from
@@ -120,48 +121,41 @@ def code_lengths(trees: ContextTrees, data: np.ndarray, starts: np.ndarray, orde
     return total[heads + np.diff(starts)] - total[heads]
 
 
-def thinned(labelled: DataFrame, label: str, order: Column, rows: int) -> DataFrame:
-    """About eight times ``rows`` rows of each label, or all it has, by a hash: what goes on does not grow with the table."""
-    counts = labelled.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") > 8 * rows).collect()
-    keep = F.lit(True)
-    for found in counts:
-        share = int((1 << 30) * 8 * rows / found["n"]) + 1
-        keep = F.when(F.col(label) == found[label], F.pmod(order, F.lit(1 << 30)) < share).otherwise(keep)
-    return labelled.where(keep)
-
-
 def sample_texts(labelled: DataFrame, text: str, lang: str, order: Column, rows: int, longest: int) -> dict[str, list[bytes]]:
     """At most ``rows`` whole texts of each language, none longer than ``longest`` bytes, first by ``order``."""
-    labelled = thinned(labelled.where(F.col(lang).isNotNull()), lang, order, rows)
-    fit = labelled.where(F.octet_length(text).between(1, longest))
-    ranked = fit.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.row_number().over(Window.partitionBy(lang).orderBy(order, text)).alias("r"))
+    usable = labelled.where(F.col(lang).isNotNull() & F.octet_length(text).between(1, longest))
+    ranked = thinned(usable, [lang], order, rows).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.row_number().over(Window.partitionBy(lang).orderBy(order, text)).alias("r"))
     out: dict[str, list[bytes]] = {}
     for row in ranked.where(F.col("r") <= rows).select("l", "t").collect():
         out.setdefault(row.l, []).append(row.t.encode("utf-8"))
     return {language: sorted(texts) for language, texts in out.items()}
 
 
-def identify(docs: DataFrame, learn_from: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> DataFrame:
+def identify(docs: DataFrame, learn_from: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES, learn_key: str | None = None, learn_text: str | None = None) -> DataFrame:
     """Each row's ``key``, ``lang_pred``, ``score`` (0 to 1) and ``bits_per_byte`` under the predicted language.
 
-    ``learn_from`` gives the labelled rows; a bounded sample of them is fitted
-    (``rows`` of each language, texts of at most ``longest`` bytes). Texts that
-    are null or have no letter give ``und`` with score 0 and null bits, as does
-    every text when nothing could be learned. Equal code lengths go to the first
-    language by name. Only ``text`` is an input of a prediction.
+    ``learn_from`` gives the labelled rows, in the same columns unless
+    ``learn_key`` and ``learn_text`` name others; a bounded sample of them is
+    fitted (``rows`` of each language, texts of at most ``longest`` bytes).
+    Texts that are null or have no letter give ``und`` with score 0 and null
+    bits, as does every text when nothing could be learned. Equal code lengths
+    go to the first language by name. Null keys and repeated rows are judged row
+    by row; an empty table gives an empty result; other columns are not read.
+    ``key`` may be a struct of all columns, to carry a whole row through. Only
+    ``text`` is an input of a prediction.
     """
-    samples = sample_texts(learn_from, text, lang, F.xxhash64(key), rows, longest)
+    samples = sample_texts(learn_from, learn_text or text, lang, F.xxhash64(learn_key or key), rows, longest)
     shared = docs.sparkSession.sparkContext.broadcast(train(samples) if samples else None)
-    key_type = docs.schema[key].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
         trees = shared.value
         for batch in batches:
-            data, starts = packed(batch.column(1))
+            data, starts = packed(texts_of(batch, text))
             sized = np.diff(starts)
             best = np.zeros(len(sized), np.int64)
             score, rate = np.zeros(len(sized)), np.full(len(sized), np.nan)
-            usable = np.array(batch.column(2).to_pylist(), bool) & (trees is not None)
+            usable = np.array(batch.column("letters").to_pylist(), bool) & (trees is not None)
             for low, high in slices(starts) if trees is not None else ():
                 bits = code_lengths(trees, data[starts[low] : starts[high]], starts[low : high + 1] - starts[low])
                 length = np.maximum(sized[low:high], 1)
@@ -176,6 +170,5 @@ def identify(docs: DataFrame, learn_from: DataFrame, key: str = "doc_id", text:
             )
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows_in = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), letters.alias("letters"))
-    out = rows_in.mapInArrow(predict, f"key {key_type}, lang_pred string, score double, bits_per_byte double")
+    out = text_rows(docs, key, text, letters.alias("letters")).mapInArrow(predict, keyed_schema(docs, key, "lang_pred string, score double, bits_per_byte double"))
     return out.withColumnRenamed("key", key)

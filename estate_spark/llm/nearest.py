@@ -27,6 +27,7 @@ PROJECTIONS = 8  # even: the distribution then has a closed form
 SURE = 0.9  # probability of the stopping test
 CELL_ROWS = 8_192  # distinct candidates in a block, about
 QUERY_ROWS = 4_096  # distinct queries against a block at once, about
+ROUNDING = 1e-9  # relative error that products by matrix may have
 MOST_CELLS = 4_096
 SAMPLE_ROWS = 20_000  # vectors from which the cells are cut; every vector is indexed
 LEAF_ROWS = 64
@@ -128,11 +129,12 @@ class Cells:
         return (side**2).sum(2)
 
 
-def search(projector: Projector, x: np.ndarray, q: np.ndarray, worst: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its up to ``k`` best rows of one block and their inner products.
+def search(projector: Projector, x: np.ndarray, ids: np.ndarray, q: np.ndarray, worst: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its up to ``k`` best rows of one block and their inner products, ties to the smaller of ``ids``.
 
     ``worst`` is the squared distance of each query's k-th best so far: nothing
-    beyond it is wanted.
+    beyond it is wanted. All rows that may tie with the k-th are held until
+    their exact products and ids decide.
     """
     points, targets = projector.candidates(x), projector.queries(q)
     leaves = list(halve(points, np.arange(len(x)), LEAF_ROWS))
@@ -153,13 +155,14 @@ def search(projector: Projector, x: np.ndarray, q: np.ndarray, worst: np.ndarray
             more = np.concatenate([np.arange(bounds[leaf], bounds[leaf + 1]) for leaf in taken])
             rows = np.concatenate([rows, more])
             products = np.concatenate([products, held[more] @ q[number]])
-            if len(rows) > k:
-                best = np.argpartition(-products, k - 1)[:k]
-                rows, products = rows[best], products[best]
-            if len(rows) == k:
-                limit = min(limit, float(projector.distance(q[number], products.min())))
-        exact = (held[rows] * q[number]).sum(1)
-        yield number, order[rows], exact
+            if len(rows) >= k:
+                last = -np.partition(-products, k - 1)[k - 1]
+                tied = products >= last - ROUNDING * max(1.0, abs(last))
+                rows, products = rows[tied], products[tied]
+                limit = min(limit, float(projector.distance(q[number], last)))
+        exact, rows = (held[rows] * q[number]).sum(1), order[rows]
+        best = np.lexsort((ids[rows], -exact))[:k]
+        yield number, rows[best], exact[best]
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", sure: float = SURE) -> DataFrame:
@@ -209,33 +212,40 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     counts = {r.cell: r["count"] for r in named.where("ids IS NOT NULL").groupBy("cell").count().collect()}
     parts = {cell: -(-n // CELL_ROWS) for cell, n in counts.items()}
     blocks_of = F.lit(np.array([parts.get(c, 1) for c in range(1 << cells.depth)], np.int64))
-    candidates = named.where("ids IS NOT NULL").select("cell", "v", "h", F.pmod("h", F.get(blocks_of, F.col("cell").cast("int"))).alias("part"))
-    groups = max(1, -(-named.where("asked").count() // QUERY_ROWS))
-    asking = named.where("asked").select("v", "h", "home", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(groups)).alias("queries"))
+    candidates = named.where("ids IS NOT NULL").select("cell", "v", "h", F.get("ids", F.lit(0)).alias("id"), F.pmod("h", F.get(blocks_of, F.col("cell").cast("int"))).alias("part"))
+    # queries of neighbouring home cells meet blocks together: they ask for much the same ones
+    at_cell = {r.home: r["count"] for r in named.where("asked").groupBy("home").count().collect()}
+    broad = max(0, (QUERY_ROWS * (1 << cells.depth) // max(1, sum(at_cell.values()))).bit_length() - 1)
+    in_group = np.zeros((((1 << cells.depth) - 1) >> broad) + 1, np.int64)
+    np.add.at(in_group, np.array(list(at_cell), np.int64) >> broad, np.array(list(at_cell.values()), np.int64))
+    region = F.shiftright("home", broad)
+    share = F.pmod(F.xxhash64("v", F.lit(1)), F.get(F.lit(np.maximum(1, -(-in_group // QUERY_ROWS))), region.cast("int")))
+    asking = named.where("asked").select("v", "h", "home", (region * F.lit(1 << 32) + share).alias("queries"))
     kind = f"v {table.schema[vector].dataType.simpleString()}"
 
     def gather(routed: DataFrame) -> DataFrame:
         """Best rows of each (query, block) pair of ``routed``: cell, part, queries, v, h, worst."""
         pairs = routed.select("cell", "part", "queries").distinct()
-        against = candidates.join(pairs, ["cell", "part"]).select("cell", "part", "queries", "v", "h").toDF("in_cell", "in_part", "by", "v", "h")
+        against = candidates.join(pairs, ["cell", "part"]).select("cell", "part", "queries", "v", "h", "id").toDF("in_cell", "in_part", "by", "v", "h", "id")
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             here, _ = shared.value
-            names, out = right.column("h").to_numpy(), ([], [], [])
+            names, ids, out = right.column("h").to_numpy(), right.column("id").to_numpy(), ([], [], [], [])
             if left.num_rows and right.num_rows:
                 x, q = vectors(right.column("v"), size), vectors(left.column("v"), size)
                 asked_by = left.column("h").to_numpy()
-                for number, rows, scores in search(here, x, q, left.column("worst").to_numpy(), k + 1, factor):
+                for number, rows, scores in search(here, x, ids, q, left.column("worst").to_numpy(), k + 1, factor):
                     out[0].append(np.full(len(rows), asked_by[number]))
                     out[1].append(names[rows])
-                    out[2].append(scores)
-            joined = [np.concatenate(part) if part else np.zeros(0, t) for part, t in zip(out, ("i8", "i8", "f8"))]
-            return pa.table([pa.array(a) for a in joined], names=["q", "c", "score"])
+                    out[2].append(ids[rows])
+                    out[3].append(scores)
+            joined = [np.concatenate(part) if part else np.zeros(0, t) for part, t in zip(out, ("i8", "i8", "i8", "f8"))]
+            return pa.table([pa.array(a) for a in joined], names=["q", "c", "id", "score"])
 
         asked_for = routed.groupBy("cell", "part", "queries")
-        return asked_for.cogroup(against.groupBy("in_cell", "in_part", "by")).applyInArrow(meet, "q long, c long, score double")
+        return asked_for.cogroup(against.groupBy("in_cell", "in_part", "by")).applyInArrow(meet, "q long, c long, id long, score double")
 
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    top = Window.partitionBy("q").orderBy(F.desc("score"), "id")  # each vector's smallest id
     at_home = asking.join(named.where("ids IS NOT NULL").select(F.col("cell")).distinct(), F.col("home") == F.col("cell"))
     at_home = at_home.select("cell", F.explode(F.sequence(F.lit(0), F.get(blocks_of, F.col("cell").cast("int")) - 1)).alias("part"), "queries", "v", "h", F.lit(math.inf).alias("worst"))
     first = materialise(gather(at_home).withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1))
@@ -262,7 +272,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     routed = waiting.mapInArrow(route, f"{kind}, h long, queries long, cell long, worst double")
     routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(blocks_of, F.col("cell").cast("int")) - 1)))
     routed = routed.select("cell", F.col("part").cast("long"), "queries", "v", "h", "worst")
-    found = first.select("q", "c", "score").union(gather(routed))
+    found = first.select("q", "c", "id", "score").unionByName(gather(routed))
     best = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).select("q", "c", "score")
 
     ids = named.where("ids IS NOT NULL").select(F.col("h").alias("c"), "ids")

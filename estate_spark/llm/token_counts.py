@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estate_spark.llm.caches import LONGEST_KEY, WordMemo
+from estate_spark.llm.caches import LONGEST_KEY, WordMemo, claim, held_by, rest
 
 MARK = "▁"
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -90,17 +90,20 @@ def count_tokens(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     key_type, name = docs.schema[key].dataType.simpleString(), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts")
         worker_model = load_model(model_path)
         memo = worker_memo(name, worker_model, table.value)
         for batch in batches:
             sizes = [sum(map(memo.__getitem__, pre_tokens(value or ""))) for value in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["key", "n_bytes", "n_tokens"])
+        rest()
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
     return rows.mapInArrow(count, f"key {key_type}, n_bytes long, n_tokens long").withColumnRenamed("key", key)
 
 
 _memos: dict[str, WordMemo] = {}
+held_by("token_counts", _memos.clear)
 
 
 def worker_memo(name: str, model: sentencepiece.SentencePieceProcessor, table: dict[str, int]) -> WordMemo:

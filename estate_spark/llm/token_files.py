@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from estate_spark.llm.batches import read_file, write_file
+from estate_spark.llm.batches import a_task_each, read_file, write_file
 from estate_spark.llm.pretokens import TextEncoder
 
 # Fixed values of the public seekable zstandard format, and the same kind of skippable frame for the documents.
@@ -184,7 +184,7 @@ def read_token_files(manifest: DataFrame, digest_only: bool = False) -> DataFram
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    spread = placed.select("file", "before").repartition(F.col("file"))
+    spread = a_task_each(placed.select("file", "before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from estate_spark.llm.batches import packed, slices
+from estate_spark.llm.batches import keyed_schema, packed, slices, text_rows, texts_of, thinned
+from estate_spark.llm.caches import claim
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -30,6 +31,7 @@ EPOCHS = 40
 RATE = 0.03
 DECAY = 5e-5
 SEED = 17
+SLICE_BYTES = 1 << 18  # of texts scored at once, beyond a single longer one: some 100 bytes of memory for each
 THRESHOLD = 0.7
 
 # Letters and digits in ASCII, lower-cased, and all bytes of longer characters make words; other bytes part them.
@@ -173,35 +175,45 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
 
 
 def sample_labelled(labelled: DataFrame, key: str, text: str, label: str, rows: int, longest: int) -> tuple[list[bytes], list[int]]:
-    """At most ``rows`` whole texts of each class, none longer than ``longest`` bytes, spread by a hash of the key."""
-    fits = labelled.where(F.col(label).isin(0, 1) & F.octet_length(text).between(1, longest))
-    by_class = Window.partitionBy(label).orderBy(F.xxhash64(key), text)
-    ranked = fits.select(F.col(label).alias("y"), F.col(text).alias("t"), F.row_number().over(by_class).alias("r"))
-    found = sorted((r.y, r.t) for r in ranked.where(F.col("r") <= rows).select("y", "t").collect())
+    """At most ``rows`` whole texts of each class, spread by a hash of the key.
+
+    All of them together have at most ``rows * longest`` bytes, or are one.
+    Texts of at most ``longest`` bytes come first, longer ones while there is
+    room, so that no class is lost for the length of its texts.
+    """
+    size, spread = F.octet_length(text), F.xxhash64(key)
+    usable = labelled.where(F.col(label).isin(0, 1) & (size > 0)).withColumn("long", size > longest)
+    few = thinned(usable, [label, "long"], spread, rows)
+    by_class = Window.partitionBy(label).orderBy("long", spread, text)
+    ranked = few.select(F.col(label).alias("y"), F.col(text).alias("t"), F.row_number().over(by_class).alias("r"), F.sum(size).over(by_class).alias("bytes"))
+    kept = ranked.where((F.col("r") == 1) | ((F.col("r") <= rows) & (F.col("bytes") <= rows * longest)))
+    found = sorted((r.y, r.t) for r in kept.select("y", "t").collect())
     return [t.encode("utf-8") for _, t in found], [y for y, _ in found]
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> DataFrame:
+def score_toxicity(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES, learn_key: str | None = None, learn_text: str | None = None) -> DataFrame:
     """Each row's ``key``, ``score`` (0 to 1, higher is more toxic) and ``predicted`` (1 from ``THRESHOLD`` on).
 
-    ``labelled`` holds texts with 0/1 labels; a bounded sample of it is fitted.
-    Null and empty texts and texts without a word get the score of no evidence,
-    which is that of the bias alone. Without labels of both classes every score
-    is 0. Repeated rows and null keys are scored each. Only ``text`` is an input
-    of a score.
+    ``labelled`` holds texts with 0/1 labels, in the same columns unless
+    ``learn_key`` and ``learn_text`` name others; a bounded sample of it is
+    fitted. Null and empty texts and texts without a word get the score of no
+    evidence, which is that of the bias alone. Without labels of both classes
+    every score is 0. Repeated rows and null keys are scored each; an empty
+    table gives an empty result; other columns are not read. ``key`` may be a
+    struct of all columns, to carry a whole row through. Only ``text`` is an
+    input of a score.
     """
-    texts, labels = sample_labelled(labelled, key, text, label, rows, longest)
+    texts, labels = sample_labelled(labelled, learn_key or key, learn_text or text, label, rows, longest)
     shared = docs.sparkSession.sparkContext.broadcast(fit(texts, labels) if len(set(labels)) == 2 else None)
-    key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         scorer = shared.value
         for batch in batches:
-            data, starts = packed(batch.column(1))
+            data, starts = packed(texts_of(batch, text))
             score = np.zeros(len(starts) - 1)
-            for low, high in slices(starts) if scorer is not None else ():
+            for low, high in slices(starts, SLICE_BYTES) if scorer is not None else ():
                 score[low:high] = scorer.score(data[starts[low] : starts[high]], starts[low : high + 1] - starts[low])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["key", "score", "predicted"])
 
-    rows_in = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows_in.mapInArrow(run, f"key {key_type}, score double, predicted int").withColumnRenamed("key", key)
+    return text_rows(docs, key, text).mapInArrow(run, keyed_schema(docs, key, "score double, predicted int")).withColumnRenamed("key", key)

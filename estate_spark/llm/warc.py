@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estate_spark.llm.batches import read_file, write_file
+from estate_spark.llm.batches import a_task_each, read_file, write_file
 
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 8 * 1024
@@ -171,7 +171,7 @@ def read_archives(manifest: DataFrame, key: str = "page_id", key_type: str = "bi
     they, are shuffled: grouped by their origin, ordered by number, checked for
     gaps and total length, joined and decoded. A group is one record's.
     """
-    files = manifest.select("file").repartition("file")
+    files = a_task_each(manifest.select("file"))
     text = RESULT.format(key="string") + (", payload binary" if payload else "")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
