@@ -14,53 +14,54 @@ from estate_spark.llm.queries import fold, toxicity_labels
 from estate_spark.session import shared_dir
 
 MOST_BITS_PER_BYTE = 6.5  # a text that costs more under its best language is in none of them
-ROW = "pipeline_row"  # a row's own key within a stage: ids may be null or shared
+ROW = "pipeline_row"  # a whole row as one value, or its key within a stage
 
 
-def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Documents with a key of each row, written to shared storage: every reader sees the same keys."""
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/rows"
-    return jaccard.written(docs.withColumn(ROW, F.monotonically_increasing_id()), path)
-
-
-def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents but the rows whose keys are rejected, whatever ids they have or share."""
-    keys = rejected.select(F.col(ROW).alias("rejected_row")).distinct()
-    return rows.join(keys, F.col(ROW) == F.col("rejected_row"), "left_anti").drop(ROW)
-
-
-def by_id(labelled: DataFrame) -> DataFrame:
-    """Rows to learn from; their sample is spread by id, as in the operators' own queries."""
-    return labelled.withColumn(ROW, F.col("doc_id"))
+def as_rows(docs: DataFrame) -> DataFrame:
+    """Documents as one column that holds all of theirs: operators carry it through, whatever the names in it."""
+    return docs.select(F.struct(*docs.columns).alias(ROW))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; null and empty texts have no evidence and stay."""
-    rows = keyed(spark, docs)
-    scored = toxicity.score_toxicity(rows, by_id(toxicity_labels(spark, docs, sf_dir)), key=ROW, label="label")
-    return without(rows, scored.where("predicted = 1"))
+    """Documents that are not predicted toxic; null and empty texts have no evidence and stay.
+
+    Each row is judged where it lies: null and repeated ids, repeated rows and
+    other columns make no difference, an empty table stays empty.
+    """
+    learned = dict(label="label", learn_key="doc_id", learn_text="text")
+    scored = toxicity.score_toxicity(as_rows(docs), toxicity_labels(spark, docs, sf_dir), key=ROW, text=f"{ROW}.text", **learned)
+    return scored.where("predicted = 0").select(f"{ROW}.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some learned language; texts without a letter, or far from every language, go."""
-    rows = keyed(spark, docs)
-    found = language_id.identify(rows, by_id(docs.where(fold("doc_id", 4) != 2)), key=ROW)
-    rejected = (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("bits_per_byte") > MOST_BITS_PER_BYTE)
-    return without(rows, found.where(rejected))
+    """Documents in some learned language; null texts, texts without a letter, or far from every language, go.
+
+    Each row is judged where it lies, as in the stage before.
+    """
+    learn_from = docs.where(fold("doc_id", 4) != 2)
+    found = language_id.identify(as_rows(docs), learn_from, key=ROW, text=f"{ROW}.text", learn_key="doc_id", learn_text="text")
+    kept = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("bits_per_byte") <= MOST_BITS_PER_BYTE)
+    return found.where(kept).select(f"{ROW}.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five words, 0.8): that of the smallest id, rows without an id last."""
-    rows = keyed(spark, docs)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
-    found = jaccard.near_duplicates(rows.select(order.alias("order"), "text"), words=5, percent=80, key="order")
-    return without(rows, found.where(F.col(f"order.{ROW}") != F.col(f"component_id.{ROW}")).select(f"order.{ROW}"))
+    """One row of each group of near copies (five words, 0.8): that of the smallest id, rows without an id last.
+
+    Rows get a key of their own, written to shared storage, as ids may be null
+    or shared; it stands beside a struct of the row's columns, so no name
+    clashes. Null and empty texts are no copies of anything and stay.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/rows"
+    rows = jaccard.written(as_rows(docs).withColumn("place", F.monotonically_increasing_id()), path)
+    order = F.struct(F.col(f"{ROW}.doc_id").isNull().alias("no_id"), F.col(f"{ROW}.doc_id").alias("doc_id"), "place")
+    found = jaccard.near_duplicates(rows.select(order.alias("order"), F.col(f"{ROW}.text").alias("text")), words=5, percent=80, key="order")
+    copies = found.where(F.col("order.place") != F.col("component_id.place")).select(F.col("order.place").alias("place"))
+    return rows.join(copies, "place", "left_anti").select(f"{ROW}.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    rows = keyed(spark, docs)
-    return without(rows, decontamination.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW))
+    """Documents that hold no benchmark item; null and empty texts hold none. Each row is judged where it lies."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
