@@ -59,9 +59,14 @@ def fingerprint(property_id: Column | None, url: Column | None) -> Column:
 
 
 def inner_text(html: Column) -> Column:
-    """Visible text of a page: scripts, styles, comments and tags removed, entities for blanks undone."""
-    body = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
-    return F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]*>", " "), "&nbsp;|&#160;", " ")
+    """Visible text of a page: scripts, styles, comments and tags removed, entities for blanks undone.
+
+    What is never closed runs to the end of the page, as in a browser; so no
+    character is looked at again for each opening before it. A ``<`` that no
+    letter, ``/``, ``!`` or ``?`` follows is text.
+    """
+    body = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)", " ")
+    return F.regexp_replace(F.regexp_replace(body, r"<(?=[a-zA-Z/!?])[^>]*+(?:>|\z)", " "), "&nbsp;|&#160;", " ")
 
 
 # The calendar's bounds for epoch seconds: the years 1 to 9999, one day in from either end for any zone.

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from estate_spark.functions.text import inner_text, listing_id, listing_id_strict
 
-# The href of an ``a`` tag, quoted either way or bare; bounded by the tag, so read once.
-HREF = r"""(?is)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"]+"|'[^']+'|[^\s"'<>]+)"""
+# The first href of an ``a`` tag, quoted either way or bare. Attributes are read one by one, so that neither a ``>`` nor
+# an ``href=`` within quotes counts; every step is possessive and a tag ends at ``<``, so a page is read once. The href
+# stands among the first thousand attributes, which bounds the matcher's stack.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'<>]*+)"""
+_OTHER = rf"""(?!href\s*+=)[^\s"'<>/=]++(?:\s*+=\s*+{_VALUE})?+[\s/]*+|["'=][\s/]*+"""
+HREF = rf"""(?is)<a[\s/]++(?:{_OTHER}){{0,1000}}+href\s*+=\s*+("[^"]++"|'[^']++'|[^\s"'<>]++)"""
 
 # Path pieces of listing links and of pages that only look like them.
 ACTIVE_PATH = "/bostad/"
@@ -20,7 +24,7 @@ SOLD_PATH = "/salda/lagenhet-"
 # Fixed patterns: result counts and page numbers.
 # Possessive and never begun inside a run of digits, so that long runs are read once.
 RESULT_COUNT = r"(?<!\d)(?<!\d\s)(\d(?:\s?+\d)*+)\s*+(?:objekt|träffar)"
-SHOWN_OF_TOTAL = r"Visar [^\n]*?av([\s \d]+)"
+SHOWN, OF_TOTAL = "Visar ", r"^[^\n]*?av[\s\u00a0]*+(\d++(?:[\s\u00a0]\d{3}(?!\d))*+)"  # thousands apart by one blank
 PAGE_NUMBER = r"page=(\d+)(?:&|$)"
 
 RESULTS_PER_PAGE = 50
@@ -86,9 +90,15 @@ def pagination(pages: DataFrame, count_pattern: str = RESULT_COUNT) -> DataFrame
     )
 
 
-def stated_total(text: Column, pattern: str = SHOWN_OF_TOTAL) -> Column:
-    """Total from a 'shown X of N' sentence of a page's text (``inner_text``); 0 when it cannot be read."""
-    digits = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"[\s ]", "")
+def stated_total(text: Column, opening: str = SHOWN, pattern: str = OF_TOTAL) -> Column:
+    """Total from a 'shown X of N' sentence of a page's text (``inner_text``); 0 when it cannot be read.
+
+    The text is cut at each ``opening`` and each piece tried once from its
+    start, so a text of many openings is read once.
+    """
+    pieces = F.split(text, opening)
+    found = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda piece: F.regexp_extract(piece, pattern, 1))
+    digits = F.regexp_replace(F.get(F.filter(found, lambda d: d != ""), F.lit(0)), r"[\s ]", "")
     return F.coalesce(digits.try_cast("long"), F.lit(0))
 
 

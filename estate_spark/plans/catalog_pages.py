@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from estate_spark.functions.text import flexible_date
+from estate_spark.functions.text import flexible_date, inner_text
 from estate_spark.functions.variants import at, follow, text_of, unwrap
 from estate_spark.operators import links, pages
 from estate_spark.operators.quality import valid
@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("p4_stated_total", "SELECT page_id, total FROM search", "search")
 def _(spark, sf):
-    return derived.search_pages(spark, sf).select("page_id", links.stated_total(F.col("html")).alias("total"))
+    return derived.search_pages(spark, sf).select("page_id", links.stated_total(inner_text(F.col("html"))).alias("total"))
 
 
 @query(
@@ -85,7 +85,7 @@ def _(spark, sf):
     "search",
 )
 def _(spark, sf):
-    totals = derived.search_pages(spark, sf).select("page_id", links.stated_total(F.col("html")).alias("total_results"))
+    totals = derived.search_pages(spark, sf).select("page_id", links.stated_total(inner_text(F.col("html"))).alias("total_results"))
     return links.page_plan(totals).select("page_id", "n_pages", "over_limit", "page_no")
 
 
