@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 from collections.abc import Callable
 
+import pyarrow as pa
+
 IDLE_SECONDS = 3.0  # after a task, until a worker that gets no other gives its memory back
 
 _held: dict[str, Callable[[], None]] = {}
@@ -25,11 +28,27 @@ def claim(owner: str) -> None:
     for other, clear in list(_held.items()):
         if other != owner:
             clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep what arrays of earlier tasks took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the C library that has it
+        pass
+
+
+def _release() -> None:
+    for clear in list(_held.values()):
+        clear()
+    give_back()
 
 
 def rest() -> None:
     """End a task: what is kept goes too, unless the next task begins soon. A late call only costs time."""
-    timer = threading.Timer(IDLE_SECONDS, lambda: [clear() for clear in list(_held.values())])
+    timer = threading.Timer(IDLE_SECONDS, _release)
     timer.daemon = True
     _idle.append(timer)
     timer.start()
