@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estate_spark.llm.batches import SLICE_BYTES, keyed_schema, packed, slices
+from estate_spark.llm.batches import SLICE_BYTES, keyed_schema, packed, parts, slices
 from estate_spark.llm.caches import claim
 
 Q = 8  # characters (UTF-8 bytes) of a gram: one 64-bit number
@@ -303,7 +303,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             claim("decontamination")
-            for batch in batches:
+            for batch in parts(batches):
                 leaks = {doc for doc, _ in hits_of(shared.value, batch.column(1))}
                 yield batch.filter(pa.array([doc not in leaks for doc in range(batch.num_rows)], pa.bool_()))
 
