@@ -8,19 +8,19 @@ from estate_spark.operators import quality
 
 SITE = "https://homes.example/"
 GOOD = {
-    "property_id": "12345",
+    "property_id": "p-77",
     "property_type": "sold",
-    "url": SITE + "salda/test",
-    "latitude": "55.6",
-    "longitude": "13.0",
-    "rooms": "2.0",
-    "living_area": "80.0",
-    "building_year": "1950",
-    "association_fee": "5000",
-    "asking_price": "2400000",
-    "final_price": "2500000",
-    "sold_date": "2025-01-15",
-    "days_on_market": "10",
+    "url": SITE + "salda/villa-77",
+    "latitude": "59.25",
+    "longitude": "17.75",
+    "rooms": "3.5",
+    "living_area": "64.0",
+    "building_year": "1987",
+    "association_fee": "3210",
+    "asking_price": "1600000",
+    "final_price": "1680000",
+    "sold_date": "2024-08-03",
+    "days_on_market": "23",
     "visit_count": None,
     "lot_area": None,
     "has_balcony": "yes",
@@ -40,8 +40,8 @@ def check(spark):
 def test_good_record(check):
     r = check()
     assert r.errors == [] and r.has_balcony is True
-    assert r.price_change == 100_000 and r.price_change_pct == pytest.approx(4.1666, abs=1e-3)
-    assert r.price_per_sqm_final == 31250.0 and r.price_per_sqm is None
+    assert r.price_change == 80_000 and r.price_change_pct == pytest.approx(5.0)
+    assert r.price_per_sqm_final == 26250.0 and r.price_per_sqm is None
 
 
 @pytest.mark.parametrize(
@@ -51,15 +51,15 @@ def test_good_record(check):
         ({"property_id": None}, ["property_id_blank"]),
         ({"url": "http://other/"}, ["url_prefix"]),
         ({"property_type": "rented"}, ["property_type_unknown"]),
-        ({"latitude": "100"}, ["latitude_range"]),
-        ({"longitude": "200"}, ["longitude_range"]),
+        ({"latitude": "90.5"}, ["latitude_range"]),
+        ({"longitude": "-180.5"}, ["longitude_range"]),
         ({"rooms": "20.5"}, ["rooms_range"]),
-        ({"rooms": "-1"}, ["rooms_range"]),
+        ({"rooms": "-0.5"}, ["rooms_range"]),
         ({"living_area": "0"}, ["living_area_range"]),
         ({"living_area": "9.99"}, ["living_area_range"]),
         ({"living_area": "1000.5"}, ["living_area_range"]),
         ({"lot_area": "-1"}, ["lot_area_negative"]),
-        ({"association_fee": "-100"}, ["association_fee_negative"]),
+        ({"association_fee": "-1"}, ["association_fee_negative"]),
         ({"building_year": "1799"}, ["building_year_range"]),
         ({"building_year": "2031"}, ["building_year_range"]),
         ({"final_price": "99999"}, ["final_price_range"]),
@@ -100,7 +100,7 @@ def test_near_zero_position_is_cleared_after_the_rules(check):
 
 def test_for_sale_metrics(check):
     r = check(property_type="for_sale", final_price=None)
-    assert r.price_per_sqm == 30000.0 and r.price_change is None
+    assert r.price_per_sqm == 25000.0 and r.price_change is None
 
 
 def test_missing_operands_give_no_metrics(check):
