@@ -29,7 +29,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     other columns make no difference, an empty table stays empty.
     """
     learned = dict(label="label", learn_key="doc_id", learn_text="text")
-    scored = toxicity.score_toxicity(as_rows(docs), toxicity_labels(spark, docs, sf_dir), key=ROW, text=f"{ROW}.text", **learned)
+    scored = toxicity.score_toxicity(as_rows(docs), **toxicity_labels(spark, docs, sf_dir), key=ROW, text=f"{ROW}.text", **learned)
     return scored.where("predicted = 0").select(f"{ROW}.*")
 
 

@@ -74,6 +74,11 @@ def thinned(labelled: DataFrame, by: str | list[str], spread: Column, rows: int)
 
     The groups are few: classes, or languages.
     """
+    return labelled.where(thinning(labelled, by, spread, rows))
+
+
+def thinning(labelled: DataFrame, by: str | list[str], spread: Column, rows: int) -> Column:
+    """The condition by which :func:`thinned` keeps rows, from the sizes of the groups."""
     by = [by] if isinstance(by, str) else by
     counts = labelled.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > 8 * rows).collect()
     keep = F.lit(True)
@@ -83,7 +88,7 @@ def thinned(labelled: DataFrame, by: str | list[str], spread: Column, rows: int)
         for name in by:
             mine = mine & F.col(name).eqNullSafe(F.lit(found[name]))
         keep = F.when(mine, F.pmod(spread, F.lit(1 << 30)) < share).otherwise(keep)
-    return labelled.where(keep)
+    return keep
 
 
 def text_rows(docs: DataFrame, key: str, text: str, *others: Column) -> DataFrame:

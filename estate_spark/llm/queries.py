@@ -48,17 +48,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def toxicity_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Labelled texts of the folds that may be learned from."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled_id"), F.col("toxic").alias("label"))
-    texts = docs.select("doc_id", "text").where(fold("doc_id", 3) != 1)
-    return texts.join(labels, F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
+def toxicity_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict[str, DataFrame]:
+    """Texts of the folds that may be learned from, and labels by ``doc_id``."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return {"labelled": docs.select("doc_id", "text").where(fold("doc_id", 3) != 1), "labels": labels}
 
 
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score_toxicity(docs, toxicity_labels(spark, docs, sf_dir), label="label")
+    scored = toxicity.score_toxicity(docs, **toxicity_labels(spark, docs, sf_dir), label="label")
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from estate_spark.llm.batches import keyed_schema, packed, slices, text_rows, texts_of, thinned
+from estate_spark.llm.batches import keyed_schema, packed, slices, text_rows, texts_of, thinned, thinning
 from estate_spark.llm.caches import claim
 
 GRAMS = (3, 4, 5)
@@ -174,16 +174,26 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
     return Scorer(weight, float(offset[1] - offset[0]))
 
 
-def sample_labelled(labelled: DataFrame, key: str, text: str, label: str, rows: int, longest: int) -> tuple[list[bytes], list[int]]:
+def sample_labelled(labelled: DataFrame, key: str, text: str, label: str, rows: int, longest: int, labels: DataFrame | None = None) -> tuple[list[bytes], list[int]]:
     """At most ``rows`` whole texts of each class, spread by a hash of the key.
 
     All of them together have at most ``rows * longest`` bytes, or are one.
     Texts of at most ``longest`` bytes come first, longer ones while there is
     room, so that no class is lost for the length of its texts.
+
+    Labels may lie in a table of their own, with the same ``key``. Then keys and
+    sizes alone are joined, and only texts that can be in the sample meet a label.
     """
     size, spread = F.octet_length(text), F.xxhash64(key)
-    usable = labelled.where(F.col(label).isin(0, 1) & (size > 0)).withColumn("long", size > longest)
-    few = thinned(usable, [label, "long"], spread, rows)
+    usable = F.col(label).isin(0, 1) & (F.col("size") > 0)
+    if labels is None:
+        few = thinned(labelled.withColumns({"size": size, "long": size > longest}).where(usable), [label, "long"], spread, rows)
+    else:
+        sized = labelled.withColumns({"size": size, "long": size > longest})
+        known = sized.select(key, "size", "long").join(labels, key).where(usable)
+        keep = thinning(known, [label, "long"], spread, rows)
+        wanted = labels.join(F.broadcast(known.where(keep).select(key).distinct()), key, "left_semi")
+        few = sized.join(F.broadcast(wanted), key).where(usable & keep)
     by_class = Window.partitionBy(label).orderBy("long", spread, text)
     ranked = few.select(F.col(label).alias("y"), F.col(text).alias("t"), F.row_number().over(by_class).alias("r"), F.sum(size).over(by_class).alias("bytes"))
     kept = ranked.where((F.col("r") == 1) | ((F.col("r") <= rows) & (F.col("bytes") <= rows * longest)))
@@ -191,20 +201,20 @@ def sample_labelled(labelled: DataFrame, key: str, text: str, label: str, rows:
     return [t.encode("utf-8") for _, t in found], [y for y, _ in found]
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES, learn_key: str | None = None, learn_text: str | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES, learn_key: str | None = None, learn_text: str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Each row's ``key``, ``score`` (0 to 1, higher is more toxic) and ``predicted`` (1 from ``THRESHOLD`` on).
 
     ``labelled`` holds texts with 0/1 labels, in the same columns unless
-    ``learn_key`` and ``learn_text`` name others; a bounded sample of it is
-    fitted. Null and empty texts and texts without a word get the score of no
+    ``learn_key`` and ``learn_text`` name others; ``labels`` may hold the labels
+    by that key instead. A bounded sample is fitted. Null and empty texts and texts without a word get the score of no
     evidence, which is that of the bias alone. Without labels of both classes
     every score is 0. Repeated rows and null keys are scored each; an empty
     table gives an empty result; other columns are not read. ``key`` may be a
     struct of all columns, to carry a whole row through. Only ``text`` is an
     input of a score.
     """
-    texts, labels = sample_labelled(labelled, learn_key or key, learn_text or text, label, rows, longest)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, labels) if len(set(labels)) == 2 else None)
+    texts, marks = sample_labelled(labelled, learn_key or key, learn_text or text, label, rows, longest, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, marks) if len(set(marks)) == 2 else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")

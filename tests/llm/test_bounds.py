@@ -135,3 +135,17 @@ def test_claiming_a_worker_drops_what_others_hold():
     caches.held_by("test_two", lambda: dropped.append(2))
     caches.claim("test_one")
     assert dropped == [2]
+
+
+def test_labels_of_their_own_give_the_same_sample_without_moving_texts(spark, monkeypatch):
+    rows = [(i % 700 if i % 50 else None, f"text {i} " * (1 + i % 9)) for i in range(900)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, i % 3) for i in range(0, 800, 2)] + [(4, 0), (4, 1), (None, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, label int")
+    joined = texts.join(labels, "doc_id")
+    seen = []
+    monkeypatch.setattr(toxicity, "thinning", lambda df, *rest: (seen.append(df.columns), batches.thinning(df, *rest))[1])
+    for count, longest in ((5, 40), (1_000, 2_500)):
+        want = toxicity.sample_labelled(joined, "doc_id", "text", "label", count, longest)
+        assert toxicity.sample_labelled(texts, "doc_id", "text", "label", count, longest, labels) == want and want[0]
+    assert seen and all("text" not in columns for columns in seen)
