@@ -1,13 +1,14 @@
 """Page extraction on small pages shaped like captured ones."""
 
 import json
+import re
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from estate_spark.functions.text import flexible_date, listing_id, listing_type, title_case
-from estate_spark.functions.variants import unwrap
+from estate_spark.functions.variants import EMPTY_JSON, unwrap, usable
 from estate_spark.operators import pages, quality
 
 SITE = "https://homes.example/"
@@ -199,3 +200,30 @@ def test_extracted_page_becomes_a_valid_record(spark):
     assert record.errors == [] and record.price_change == -80000
     assert record.price_per_sqm_final == 23750.0
     assert record.price_change_pct == pytest.approx(-5.0)
+
+
+def test_script_text_is_the_shortest_after_the_first_opening(spark):
+    opening, close = '<script id="__NEXT_DATA__" type="application/json">', "</script>"
+    bodies = ["{}", "", "<", "a<b</scripty>c\nå", "x" * 50_000, "<" * 50_000, close + "x", opening + "y", " "]
+    htmls = [f"<p>{opening}{b}{close}tail{close}" for b in bodies] + [opening + "never closed", "no script", opening + close, None]
+    old = re.compile(r'<script id="__NEXT_DATA__" type="application/json">(.+?)</script>', re.S)
+    wanted = [(m[1] if (m := old.search(h)) else None) if h else None for h in htmls]
+    df = spark.createDataFrame(list(enumerate(htmls)), "i int, html string")
+    got = df.select("i", pages.embedded_json(F.col("html")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == wanted
+
+
+def test_usable_by_key_or_plain_text_agrees_with_the_written_json(spark):
+    values = ['null', 'false', 'true', '""', '"0"', '"false"', '"{}"', '"null"', '" "', '"-"', '"."', '{}', '[]', '{ }', '[ ]', '0', '-0', '0.0',
+              '0.000', '-0.0e0', '0e5', '1e-9', '10', '0.5', '-3', '"0.0"', '"+0"', '[0]', '{"a":0}', '{"__typename":null}', '{"__ref":""}',
+              '{"__typename":"Money","amount":0}', '"x\\ny"', '"\\n"', '1e400', '"1e5"', None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, t string").withColumn("v", F.try_parse_json("t"))
+    written = F.when(~F.rlike(F.to_json("v"), F.lit(EMPTY_JSON)), F.to_json("v"))
+    got = df.select("t", F.to_json(usable(F.col("v"))).alias("now"), written.alias("before")).collect()
+    assert [(r.t, r.now) for r in got] == [(r.t, r.before) for r in got]
+
+
+def test_page_queries_open_only_the_keys_they_read(spark):
+    rows = pages.with_listing_fields(spark.sql("""SELECT try_parse_json('{"coordinate":{"latitude":1.5},"area":"x"}') AS main"""), pages.POSITION_KEYS)
+    assert rows.schema["f"].dataType.names == list(pages.POSITION_KEYS)
+    assert rows.select(pages.object_position(F.col("f"))["latitude"]).first()[0] == 1.5
