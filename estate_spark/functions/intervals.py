@@ -1,11 +1,14 @@
 """Newest rows within intervals of one dimension, by dyadic intervals over positions.
 
 The distinct (group, value) points of a table are numbered in order. Positions
-2^l * n up to 2^l * (n + 1) make node n of level l, and each node keeps the
-newest few rows. An interval of values is a stretch of positions, and that is a
-union of at most two whole nodes a level. So a search joins a few rows for each
-probe, however many points its interval holds and however hot its group is;
-nodes may reach over groups, as only nodes wholly within a stretch are asked.
+2^l * n up to 2^l * (n + 1) make node n of level l; nodes of 64 positions are
+blocks. Each point keeps the newest few rows from there to its block's end and
+from its block's start. An interval of values is a stretch of positions: the end
+of one block, whole blocks, the start of another. What whole blocks hold is
+searched once for all probes with the same blocks, as a union of at most two
+nodes a level. So a search joins three short lists of ranks a probe, however
+many points its interval holds and however hot its group is; blocks and nodes
+may reach over groups, as only what lies wholly within a stretch is asked.
 """
 
 from __future__ import annotations
@@ -16,9 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estate_spark.functions.ordering import number_rows, ordered_layout
-from estate_spark.session import materialise
+from estate_spark.session import materialise, staged
 
 BEFORE, POINT, AFTER = 0, 1, 2  # a bound sorts before or after points of its own value
+SUFFIX, PREFIX, MIDDLE, NODE = 0, 1, 2, 3  # from a position to its block's end, from its block's start, whole blocks, a node in a block
+BLOCK = 6  # level of the nodes that are blocks
 
 
 def newest(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], k: int) -> DataFrame:
@@ -56,6 +61,53 @@ def whole_nodes(low: Column, high: Column) -> Column:
     return F.when(high > low, F.flatten(F.transform(levels, at))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
 
 
+def _tops(ranks: Column, k: int) -> Column:
+    """The first ``k`` of an array of ranks."""
+    return F.slice(F.array_sort(ranks), 1, k)
+
+
+def _first_ranks(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """``top``, the first ``k`` ranks ``_r`` of each key, cut down before and after the shuffle."""
+    return newest(rows, keys, ["_r"], k).groupBy(*keys).agg(F.array_sort(F.collect_list("_r")).alias("top"))
+
+
+def _answers(numbered: DataFrame, middles: DataFrame, longest: int, k: int) -> DataFrame:
+    """``kind, x, y, top`` of all that a probe may ask for; ``numbered`` has positions ``_i`` and ranks ``_r``."""
+    points = _first_ranks(numbered, ["_i"], k).withColumn("block", F.shiftright("_i", BLOCK))
+    over = lambda order: Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    running = lambda order: _tops(F.flatten(F.collect_list("top").over(over(order))), k)
+    none = F.lit(0).cast("long")
+    points = materialise(points.select("_i", "block", "top", running(F.desc("_i")).alias("after"), running(F.col("_i")).alias("before")))
+    ends = [points.select(F.lit(kind).alias("kind"), F.col("_i").alias("x"), none.alias("y"), F.col(c).alias("top")) for kind, c in ((SUFFIX, "after"), (PREFIX, "before"))]
+
+    def nodes(of: DataFrame, at: str, levels: int) -> DataFrame:
+        level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+        each = of.select(level, at, "top").select("level", F.expr(f"shiftright({at}, level)").alias("node"), F.explode("top").alias("_r"))
+        return _first_ranks(each, ["level", "node"], k)
+
+    within = nodes(points, "_i", BLOCK - 1).select(F.lit(NODE).alias("kind"), F.col("node").alias("x"), F.col("level").cast("long").alias("y"), "top")
+    whole = points.filter(F.shiftright(F.col("_i") + 1, BLOCK) > F.col("block")).select("block", F.col("before").alias("top"))
+    blocks = nodes(whole, "block", max(0, longest >> BLOCK).bit_length())
+    asked = middles.select("x", "y", F.explode(whole_nodes(F.col("x"), F.col("y"))).alias("n")).select("x", "y", "n.*")
+    found = asked.join(blocks, ["level", "node"]).select("x", "y", F.explode("top").alias("_r"))
+    middle = _first_ranks(found, ["x", "y"], k).select(F.lit(MIDDLE).alias("kind"), "x", "y", "top")
+    return ends[0].unionByName(ends[1]).unionByName(within).unionByName(middle)
+
+
+def _asked(low: Column, high: Column) -> Column:
+    """``kind, x, y`` of what together is positions ``low`` up to ``high``: ends of two blocks and what lies between, or nodes in one block."""
+    start, stop, none = F.shiftright(low + (1 << BLOCK) - 1, BLOCK), F.shiftright(high, BLOCK), F.lit(0).cast("long")
+    inside = (1 << BLOCK) - 1
+    ask = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    ends = F.array(
+        F.when(low.bitwiseAND(F.lit(inside)) != 0, ask(SUFFIX, low, none)),
+        F.when(stop > start, ask(MIDDLE, start, stop)),
+        F.when(high.bitwiseAND(F.lit(inside)) != 0, ask(PREFIX, high - 1, none)),
+    )
+    nodes = F.transform(whole_nodes(low, high), lambda n: ask(NODE, n["node"], n["level"].cast("long")))
+    return F.when(high <= low, F.filter(nodes, lambda _: F.lit(False))).when(start <= stop, F.array_compact(ends)).otherwise(nodes)
+
+
 def rows_between(
     probes: DataFrame, cells: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, value: str = "a"
 ) -> DataFrame:
@@ -65,10 +117,12 @@ def rows_between(
     given. The result has the probe's columns, ``sale``, the point's value, and
     ``sure``: false for the few points so near to an end that rounding may
     decide; for these the caller applies its own exact test. All rows that can
-    be among the newest are there.
+    be among the newest are there. While searched for, a row is its rank in the
+    order given and a probe is a number; their columns are joined to the answers.
     """
     keys = [c for c in probes.columns if c not in ("low", "high")]
-    wanted, cells = materialise(probes.filter("low IS NOT NULL AND high IS NOT NULL").distinct()), materialise(cells)
+    numbers = probes.filter("low IS NOT NULL AND high IS NOT NULL").distinct().withColumn("_probe", F.monotonically_increasing_id())
+    wanted, ranked = materialise(numbers), number_rows(ordered_layout(staged(cells), order), "_r")
     margin = (1 + F.abs("low") + F.abs("high")) * 1e-9
     ends = {
         "outer_low": (F.col("low") - margin, BEFORE),
@@ -76,25 +130,26 @@ def rows_between(
         "inner_high": (F.col("high") - margin, AFTER),
         "outer_high": (F.col("high") + margin, AFTER),
     }
-    bounds = wanted.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("end"), v.alias("_v"), F.lit(kind).alias("_kind")) for n, (v, kind) in ends.items()])).alias("b"))
-    points, found = count_before(cells.select(*group, value).distinct(), bounds.select(*keys, "b.*"), group, value)
-    placed = found.groupBy(*keys).agg(*[F.max(F.when(F.col("end") == n, F.col("_before"))).alias(n) for n in ends])
+    end = F.explode(F.array(*[F.struct(F.lit(i).alias("end"), v.alias("_v"), F.lit(kind).alias("_kind")) for i, (v, kind) in enumerate(ends.values())]))
+    bounds = wanted.select(*group, "_probe", end.alias("b"))
+    points, found = count_before(ranked.select(*group, value).distinct(), bounds.select(*group, "_probe", "b.*"), group, value)
+    placed = found.groupBy("_probe").agg(*[F.max(F.when(F.col("end") == i, F.col("_before"))).alias(n) for i, n in enumerate(ends)])
     inner_high = F.greatest("inner_low", "inner_high")
     placed = materialise(placed.withColumn("inner_high", inner_high).filter("outer_low < outer_high"))
     longest = placed.agg(F.max(F.col("inner_high") - F.col("inner_low"))).first()[0] or 0
 
-    numbered = cells.join(points, [*group, value])
-    level = F.explode(F.sequence(F.lit(1), F.lit(max(1, int(longest).bit_length()))))
-    above = numbered.select(level.alias("level"), "_i", value, "sale").withColumn("node", F.expr("shiftright(_i, level)")).drop("_i")
-    nodes = newest(above, ["level", "node"], order, k).drop("rank")
-    nodes = nodes.unionByName(numbered.select(F.lit(0).alias("level"), F.col("_i").alias("node"), value, "sale"))
-    inner = placed.select(*keys, F.explode(whole_nodes(F.col("inner_low"), F.col("inner_high"))).alias("n"))
-    sure = inner.select(*keys, "n.*").join(nodes, ["level", "node"]).select(*keys, value, "sale", F.lit(True).alias("sure"))
+    numbered = materialise(ranked.join(points, [*group, value]).select("_i", "_r"))
+    asked = placed.select("_probe", F.explode(_asked(F.col("inner_low"), F.col("inner_high"))).alias("q")).select("_probe", "q.*")
+    middles = asked.filter(F.col("kind") == MIDDLE).select("x", "y").distinct()
+    met = asked.join(_answers(numbered, middles, int(longest), k), ["kind", "x", "y"])
+    best = met.groupBy("_probe").agg(_tops(F.flatten(F.collect_list("top")), k).alias("top"))
+    sure = best.select("_probe", F.explode("top").alias("_r"), F.lit(True).alias("sure"))
 
     span = lambda low, high: F.when(F.col(low) < F.col(high), F.sequence(F.col(low), F.col(high) - 1)).otherwise(F.array().cast("array<bigint>"))
     edge = F.explode(F.concat(span("outer_low", "inner_low"), span("inner_high", "outer_high")))
-    edges = placed.select(*keys, edge.alias("_i")).join(numbered.select("_i", value, "sale"), "_i")
-    return sure.unionByName(edges.select(*keys, value, "sale", F.lit(False).alias("sure")))
+    edges = placed.select("_probe", edge.alias("_i")).join(numbered, "_i").select("_probe", "_r", F.lit(False).alias("sure"))
+    rows = ranked.select("_r", value, "sale")
+    return sure.unionByName(edges).join(rows, "_r").join(wanted.select("_probe", *keys), "_probe").select(*keys, value, "sale", "sure")
 
 
 def nearest_points(probes: DataFrame, cells: DataFrame, group: Sequence[str], at: str, k: int, value: str = "a") -> DataFrame:

@@ -288,3 +288,22 @@ def test_links_of_any_quoting_told_by_absolute_url(rows):
         <A HREF="https://s.se/bostad/z-3">again</A><a href="//h.se/bostad/w-4"></a>"""
     got = links.active_links(rows([(1, "https://s.se/list", html)], "page_id long, url string, html string")).orderBy("pos")
     assert [r.url for r in got.collect()] == ["https://s.se/bostad/y-2?a=1&b=2", "https://s.se/bostad/z-3", "https://h.se/bostad/w-4"]
+
+
+def test_a_search_brings_no_more_than_its_answer(spark):
+    """Of the rows surely within reach only the newest k come back for each probe, whatever the levels its stretch spans."""
+    n, k = 3_000, 3
+    areas = spark.range(n).select(F.lit("hot").alias("g"), (F.col("id") / 100).alias("a"))
+    cells = areas.withColumn("sale", F.struct((F.xxhash64("a") % 50).alias("sale_year"), F.col("a").cast("string").alias("property_id")))
+    reaches = spark.createDataFrame([(0.0,), (0.015,), (0.2,), (0.64,), (3.0,), (25.0,)], "reach double")
+    probes = areas.filter("id % 37 = 0").crossJoin(reaches).select("g", F.col("a").alias("at"), (F.col("a") - F.col("reach")).alias("low"), (F.col("a") + F.col("reach")).alias("high"), "reach")
+    found = rows_between(probes, cells, ["g"], comps.newest_first(), k)
+    sure = found.filter("sure").groupBy("at", "reach").count()
+    assert sure.agg(F.max("count")).first()[0] == k
+    have = sorted(((r.sale.sale_year, r.sale.property_id, r.a) for r in cells.collect()), key=lambda s: (-s[0], s[1]))
+    got = {}
+    for r in found.filter("abs(a - at) <= reach + 1e-9").collect():
+        got.setdefault((r["at"], r.reach), []).append((r.sale.sale_year, r.sale.property_id))
+    for p in probes.collect():
+        want = [s[:2] for s in have if abs(s[2] - p["at"]) <= p.reach + 1e-9][:k]
+        assert sorted(got[p["at"], p.reach], key=lambda s: (-s[0], s[1]))[:k] == want
