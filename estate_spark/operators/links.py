@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estate_spark.functions.text import inner_text, listing_id, listing_id_strict
+from estate_spark.session import staged
 
 # The first href of an ``a`` tag, quoted either way or bare. Attributes are read one by one, so that neither a ``>`` nor
 # an ``href=`` within quotes counts; every step is possessive and a tag ends at ``<``, so a page is read once. The href
@@ -29,6 +30,7 @@ PAGE_NUMBER = r"page=(\d+)(?:&|$)"
 
 RESULTS_PER_PAGE = 50
 RESULT_LIMIT = 2500
+ROWS_PER_PART = 500_000  # ids merged by one task, copies counted
 
 
 def page_hrefs(html: Column) -> Column:
@@ -142,11 +144,18 @@ def distinct_links(df: DataFrame, column: str = "url") -> DataFrame:
 
 
 def same_ids(left: DataFrame, right: DataFrame, key: str = "property_id") -> DataFrame:
-    """One row: are the two id sets equal, and how many ids each lacks."""
+    """One row: are the two id sets equal, and how many ids each lacks.
+
+    The ids are staged, counted and dealt into parts that follow their number
+    before they are merged: what a task holds of them does not grow with the
+    input.
+    """
     sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
         right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    per_id = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    sides = staged(sides)
+    parts = max(1, -(-sides.count() // ROWS_PER_PART))
+    per_id = sides.repartition(parts, key).groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
     return per_id.agg(
         F.count_if((F.col("l") == 1) & (F.col("r") == 0)).alias("only_left"),
         F.count_if((F.col("l") == 0) & (F.col("r") == 1)).alias("only_right"),

@@ -235,6 +235,17 @@ def test_ids_sets_and_overlap(rows):
     assert links.same_ids(df, df.filter("property_id = '1'")).first().only_left == 2
 
 
+def test_same_ids_merges_in_parts_that_follow_the_rows(rows, monkeypatch):
+    monkeypatch.setattr(links, "ROWS_PER_PART", 2)
+    left = rows([("1",), ("1",), (None,), ("2",)], "property_id string")
+    right = rows([("2",), ("3",), (None,)], "property_id string")
+    found = links.same_ids(left, right)
+    assert tuple(found.first()) == (1, 1, False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ", 4), REPARTITION_BY_NUM" in plan  # 7 rows, 2 a part
+    assert tuple(links.same_ids(left.limit(0), right.limit(0)).first()) == (0, 0, True)
+
+
 def test_rounding_is_half_even(rows):
     df = rows([(2500.0, 10.0), (3500.0, 10.0), (2501.0, 10.0)], "prediction double, living_area double")
     assert [r.predicted_price for r in clean.rounded_prediction(df).collect()] == [2000.0, 4000.0, 3000.0]
