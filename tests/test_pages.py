@@ -78,6 +78,12 @@ def test_unwrap(spark, value, expected):
     assert one(spark, unwrap(F.try_parse_json("x")), json.dumps(value)) == expected
 
 
+def test_unwrap_reads_the_kind_and_each_name_once(spark):
+    df = spark.range(1).select(unwrap(F.try_parse_json(F.lit("{}"))).alias("x"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert [len(re.findall(rf"\.{name}, \$, StringType", plan)) for name in ("__typename", "fullName")] == [1, 1]
+
+
 def test_title_case_starts_words_at_any_non_letter(spark):
     assert one(spark, title_case(F.col("x")), "ROW_HOUSE") == "Row_House"
 
