@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from estate_spark.functions.ordering import asof_match, previous_value
 from estate_spark.functions.quantiles import exact_quantiles
 from estate_spark.functions.text import blank_to_null, strip
+from estate_spark.session import staged
 
 
 def day_bucket(t: Column) -> Column:
@@ -84,18 +85,20 @@ def match_listings(listings: DataFrame, sales: DataFrame) -> DataFrame:
 
     Either way the first sale on or after the listing date counts; a listing
     whose id was only sold before is tried by address, as it is new. Both
-    lookups are time lookups per key, so a shared address forms no pairs.
+    lookups are time lookups per key, so a shared address forms no pairs. What
+    the ids tell is staged, as both kinds of rows read it.
     Expects ``property_id, address, listed_date`` on listings and
     ``property_id, address, sold_date, final_price`` on sales.
     """
     own_sales = sales.select("property_id", "sold_date", "final_price")
-    by_id = asof_match(
-        listings, own_sales, ["property_id"], "listed_date", "sold_date", month_bucket, backward=False, tie_break=[F.col("final_price")]
-    ).withColumn("matched_by", F.lit("id")).withColumn("sale_id", F.col("property_id"))
-    known = by_id.select(F.col("property_id").alias("_id"), F.col("listed_date").alias("_listed")).distinct()
-    rest = listings.join(
-        known, (F.col("property_id") == F.col("_id")) & (F.col("listed_date") == F.col("_listed")), "left_anti"
-    ).withColumn("addr", normal_address(F.col("address"))).filter(F.col("addr").isNotNull())
+    tried = staged(
+        asof_match(
+            listings, own_sales, ["property_id"], "listed_date", "sold_date", month_bucket, backward=False, tie_break=[F.col("final_price")], keep=True
+        )
+    )
+    ended = F.col("sold_date").isNotNull()
+    by_id = tried.filter(ended).withColumn("matched_by", F.lit("id")).withColumn("sale_id", F.col("property_id"))
+    rest = tried.filter(~ended).select(*listings.columns, normal_address(F.col("address")).alias("addr")).filter(F.col("addr").isNotNull())
     sold = sales.select(
         F.col("property_id").alias("sale_id"),
         normal_address(F.col("address")).alias("addr"),

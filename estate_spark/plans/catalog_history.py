@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from estate_spark.operators import history, incremental
 from estate_spark.plans.registry import query
+from estate_spark.session import staged
 from estate_spark.sources import views
 
 
@@ -103,7 +104,12 @@ _LISTED = """l AS (SELECT row_number() OVER () AS listing_row, property_id, conc
     "sales",
 )
 def _(spark, sf):
-    s = views.sales(spark, sf)
+    # staged first: listings and sales are read by several steps
+    s = staged(
+        views.sales(spark, sf).select(
+            "property_id", "neighborhood", "number_of_rooms", "living_area", "sale_year", "listed_date", "sold_date", "final_price"
+        )
+    )
     size = F.col("living_area").cast("int")
     sep = F.when(F.col("living_area") > 50, ", ").otherwise("  ")
     listed = s.filter("sale_year % 2 = 1").select(
