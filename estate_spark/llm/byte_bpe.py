@@ -31,6 +31,7 @@ from estate_spark.llm.pretokens import TextEncoder
 STATES = 100_000  # kept in a worker before it starts anew
 PAIRS = 300_000
 DECODE_IDS = 65_536  # ids decoded at once
+AT_ONCE = 1024  # bytes of a match up to which its tokens are traced back in one go, settled or not
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +41,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Moves(dict):
-    """(state, byte) to what ``determinise`` finds, filled on demand."""
+    """256 * state + byte to what ``determinise`` finds, filled on demand."""
 
     def __init__(self, machine: Transducer):
         super().__init__()
@@ -59,16 +60,15 @@ class Transducer:
             raise ValueError("the vocabulary lacks a byte")
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.child: dict[int, int] = {}  # trie of all tokens: node << 8 | byte to node
-        self.ends = [-1]  # the token that ends at a node
+        self.length = {rank: len(token) for token, rank in ranks.items()}
+        self.child: dict[int, int] = {}  # trie of all tokens: node | byte to node; nodes are multiples of 256
+        self.ends: dict[int, int] = {}  # the token that ends at a node
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                node = self.child.setdefault(node << 8 | byte, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
+                node = self.child.setdefault(node | byte, len(self.child) + 1 << 8)
             self.ends[node] = rank
-        self.inner = {key >> 8 for key in self.child}
+        self.inner = {key & ~255 for key in self.child}
         self.pairs: dict[int, bool] = {}
         self.restart()
 
@@ -91,6 +91,25 @@ class Transducer:
                 scores[at - 1] = get(parts[at - 1] + parts[at], 1 << 62)
         return [self.ranks[part] for part in parts]
 
+    def stay_apart(self, first: bytes, second: bytes) -> bool:
+        """Whether merges of both together give just these two; ends with the first merge across their border."""
+        data, get, border = first + second, self.ranks.get, len(first)
+        parts = [data[i : i + 1] for i in range(len(data))]
+        scores = [get(data[i : i + 2], 1 << 62) for i in range(len(data) - 1)]
+        while (best := min(scores)) < 1 << 62:
+            at = scores.index(best)
+            if at == border - 1:
+                return False
+            if at < border:
+                border -= 1
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], 1 << 62)
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], 1 << 62)
+        return len(parts) == 2
+
     def fits(self, left: int, right: int) -> bool:
         """Whether these neighbours stay as they are; with no left one (-1), whether merges reach the token."""
         pair = left << 32 | right
@@ -98,28 +117,29 @@ class Transducer:
         if found is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            tokens = [right] if left < 0 else [left, right]
-            found = self.merges(b"".join(self.token[t] for t in tokens)) == tokens
+            found = self.merges(self.token[right]) == [right] if left < 0 else self.stay_apart(self.token[left], self.token[right])
             self.pairs[pair] = found
         return found
 
     def determinise(self, state: int, byte: int) -> tuple[int, int, bool]:
-        """Next state, the token that the bytes so far end with, and whether all up to here is settled."""
-        last, live, child = None, [], self.child
+        """Next state times 256, the token that the bytes so far end with, and whether all up to here is settled."""
+        last, live, child, ends, inner, pair = None, [], self.child.get, self.ends.get, self.inner, self.pairs.get
         for node, before in self.states[state]:
-            following = child.get(node << 8 | byte)
+            following = child(node | byte)
             if following is None:
                 continue
-            if last is None and (rank := self.ends[following]) >= 0 and self.fits(before, rank):
-                last = rank
-            if following in self.inner:
+            if last is None and (rank := ends(following)) is not None:
+                known = pair(before << 32 | rank)
+                if known or (known is None and self.fits(before, rank)):
+                    last = rank
+            if following in inner:
                 live.append((following, before))
         live.append((0, last))
         target = tuple(live)
         number = self.numbers.setdefault(target, len(self.states))
         if number == len(self.states):
             self.states.append(target)
-        return number, last, len(live) == 1
+        return number << 8, last, len(live) == 1
 
     def encode(self, data: bytes) -> list[int]:
         if data in self.ranks:  # a match that is a token is that token, whatever merges give
@@ -127,21 +147,29 @@ class Transducer:
         if len(self.states) > STATES:
             self.restart()
         state, out, pending, moves = 0, [], [], self.moves
+        keep = pending.append
+        if len(data) <= AT_ONCE:
+            for byte in data:
+                state, last, _ = moves[state | byte]
+                keep(last)
+            return self.trace(pending)
         for byte in data:
-            state, last, settled = moves[state << 8 | byte]
-            pending.append(last)
+            state, last, settled = moves[state | byte]
+            keep(last)
             if settled:
                 out += self.trace(pending)
-                pending = []
+                pending.clear()
         return out + self.trace(pending)
 
     def trace(self, pending: list[int]) -> list[int]:
         """Tokens of the bytes not yet emitted, from the token each of them ends with."""
-        out, at = [], len(pending)
+        out, at, length = [], len(pending), self.length
         while at > 0:
-            out.append(pending[at - 1])
-            at -= len(self.token[pending[at - 1]])
-        return out[::-1]
+            token = pending[at - 1]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
+        return out
 
 
 class Utf8Machine:

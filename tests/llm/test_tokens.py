@@ -131,3 +131,21 @@ def test_a_changed_frame_is_refused(tmp_path):
 
 def test_token_files_of_nothing(empty_docs, folder):
     assert token_files.read_token_files(token_files.write_token_files(empty_docs, folder, JSON, PATTERN)).collect() == []
+
+
+def test_pairs_stay_apart_as_the_definition_says():
+    machine = byte_bpe.Transducer(byte_bpe.read_ranks(RANKS))
+    text = "straße 漢字 naïve d0c9f1e2 internationalisation aaaaaaaa    x\n\n".encode()
+    tokens = sorted({rank for token, rank in machine.ranks.items() if token in text})
+    for left in tokens:
+        for right in tokens[::3]:
+            pair = machine.token[left], machine.token[right]
+            assert machine.stay_apart(*pair) == (machine.merges(b"".join(pair)) == [left, right])
+
+
+def test_long_matches_are_traced_as_short_ones(monkeypatch):
+    machine = byte_bpe.Transducer(byte_bpe.read_ranks(RANKS))
+    data = b"abracadabra0123zzyx" * 40
+    whole = machine.encode(data)
+    monkeypatch.setattr(byte_bpe, "AT_ONCE", 3)
+    assert machine.encode(data) == whole == machine.merges(data)
