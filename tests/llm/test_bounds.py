@@ -149,3 +149,19 @@ def test_labels_of_their_own_give_the_same_sample_without_moving_texts(spark, mo
         want = toxicity.sample_labelled(joined, "doc_id", "text", "label", count, longest)
         assert toxicity.sample_labelled(texts, "doc_id", "text", "label", count, longest, labels) == want and want[0]
     assert seen and all("text" not in columns for columns in seen)
+
+
+def test_members_of_one_list_meet_by_root(monkeypatch):
+    from estate_spark.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 7)
+    rnd = np.random.default_rng(1)
+    for n in range(30):
+        rows = sorted(map(tuple, rnd.integers(0, 3, (n, 3)).tolist()))
+        columns = [np.array([r[k] for r in rows], np.int64) for k in range(3)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 4]) for c in columns], ["t", "a", "n"]) for i in range(0, n, 4)]
+        kept = [[*zip(*(c.tolist() for c in part))] for part in jaccard.whole_lists(iter(batches))]
+        assert sum(kept, []) == rows and all(not p or not q or p[-1][0] != q[0][0] for p, q in zip(kept, kept[1:]))
+        found = [list(zip(x.tolist(), y.tolist())) for x, y in jaccard.across(*columns)]
+        assert sorted(sum(found, [])) == [(i, j) for i in range(n) for j in range(i + 1, n) if rows[i][0] == rows[j][0] and rows[i][1:] != rows[j][1:]]
+        assert all(len(part) <= max(7, n) for part in found)
